@@ -1,13 +1,24 @@
-"""Operators for training-data pipelines; nothing else in the library imports this subpackage."""
+"""Operators for training-data pipelines; nothing else in the library imports this subpackage.
+
+Python workers import the package of the function they run, so the operators' modules
+are only imported when the registry is asked for.
+"""
 
 from __future__ import annotations
 
-from skein.llm import substrings
+import importlib
 
-QUERIES = {
-    "op10_substring_dedup": substrings.query,
+#: Query name to module; each module has query(spark, sf_dir) and, where SQL can say it, ORACLE.
+MODULES = {
+    "op6_near_dedup": "near",
+    "op10_substring_dedup": "substrings",
 }
 
-ORACLES = {
-    "op10_substring_dedup": substrings.ORACLE,
-}
+
+def queries() -> dict:
+    return {name: importlib.import_module(f"skein.llm.{module}").query for name, module in MODULES.items()}
+
+
+def oracles() -> dict[str, str]:
+    modules = {name: importlib.import_module(f"skein.llm.{module}") for name, module in MODULES.items()}
+    return {name: m.ORACLE for name, m in modules.items() if hasattr(m, "ORACLE")}
