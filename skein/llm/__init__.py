@@ -10,7 +10,9 @@ import importlib
 
 #: Query name to module; each module has query(spark, sf_dir) and, where SQL can say it, ORACLE.
 MODULES = {
+    "op1_licence_scan": "licences",
     "op6_near_dedup": "near",
+    "op7_quality": "quality",
     "op10_substring_dedup": "substrings",
 }
 
