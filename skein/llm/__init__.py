@@ -12,6 +12,7 @@ import importlib
 MODULES = {
     "op1_licence_scan": "licences",
     "op6_near_dedup": "near",
+    "op3_toxicity": "toxicity",
     "op7_quality": "quality",
     "op10_substring_dedup": "substrings",
 }
