@@ -13,7 +13,9 @@ MODULES = {
     "op1_licence_scan": "licences",
     "op6_near_dedup": "near",
     "op3_toxicity": "toxicity",
+    "op4_url_filter": "urls",
     "op7_quality": "quality",
+    "op8_mixing": "mixing",
     "op10_substring_dedup": "substrings",
 }
 
