@@ -11,11 +11,14 @@ import importlib
 #: Query name to module; each module has query(spark, sf_dir) and, where SQL can say it, ORACLE.
 MODULES = {
     "op1_licence_scan": "licences",
+    "op5_decontamination": "benchmark",
     "op6_near_dedup": "near",
+    "op2_line_dedup": "lines",
     "op3_toxicity": "toxicity",
     "op4_url_filter": "urls",
     "op7_quality": "quality",
     "op8_mixing": "mixing",
+    "op9_nearest": "ann",
     "op10_substring_dedup": "substrings",
 }
 
