@@ -102,15 +102,16 @@ def _round(seed: int, level: int):
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and tie (the text's hash) for each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
+    """doc_id, source, size, source_size, target, copies, taken and two hashes of id, source and text for each row."""
+    key = [F.col(c) for c in (id_col, source_col, text_col)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(*key).alias("tie"), F.xxhash64(F.lit(7), *key).alias("tie2"))
     rows = cut(rows, "sized")
     known = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most), "targets")
     known = known.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(share + 1e-12)
     joined = rows.join(known, rows["source"].eqNullSafe(known["source"])).select(
-        "doc_id", rows["source"], "size", "tie", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(share - whole, F.lit(0.0)).alias("p"), "blocks", F.pmod(F.xxhash64("doc_id", "tie"), "blocks").alias("block")
+        "doc_id", rows["source"], "size", "tie", "tie2", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(share - whole, F.lit(0.0)).alias("p"), "blocks", F.pmod("tie2", "blocks").alias("block")
     )
     live, done = joined.withColumn("last", F.col("blocks") == 1), []
     depth, widest = 0, known.agg(F.coalesce(F.max("blocks"), F.lit(1))).first()[0]
@@ -128,7 +129,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     for x in done[1:]:
         out = out.unionByName(x)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "tie")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "tie", "tie2")
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs, with all its columns and a column copy, as often as it is taken."""
+    mixed = mix(docs, weights, most, seed, id_col, text_col, source_col)
+    each = mixed.groupBy(F.col("tie").alias("_m1"), F.col("tie2").alias("_m2")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    key = [F.col(c) for c in (id_col, source_col, text_col)]
+    rows = docs.withColumns({"_t1": F.xxhash64(*key), "_t2": F.xxhash64(F.lit(7), *key)})
+    found = rows.join(each, (rows["_t1"] == each["_m1"]) & (rows["_t2"] == each["_m2"]))
+    # rows that are equal share the list of their copies
+    place = F.row_number().over(Window.partitionBy("_t1", "_t2").orderBy(F.lit(0)))
+    found = found.withColumn("_n", F.element_at("_copies", place)).where("_n > 0")
+    return found.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("copy"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

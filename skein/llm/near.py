@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.graph import components
@@ -182,11 +182,14 @@ def _ordered(pairs: DataFrame, x, y) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable) and kept for each row of docs."""
-    bands = n_bands(percent / 100, rows, miss)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
+    return texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
+
+
+def _classes(texts: DataFrame, shingle: int, percent: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """The sketch of each row, and each node's representative (least) and component (comp)."""
+    bands = n_bands(percent / 100, rows, miss)
     kind = texts.schema["doc_id"].dataType.simpleString()
     sketches = cut(texts.select("doc_id", "k1", "k2", "text").mapInArrow(_sketch(shingle, bands * rows), f"doc_id {kind}, k1 long, k2 long, n long, node binary, regs binary"), "sketch")
     reps = sketches.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs"))
@@ -226,14 +229,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             break
 
-    named = reps.select("node", "least.doc_id").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return sketches, reps.select("node", "least").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-6) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable) and kept for each row of docs."""
+    sketches, named = _classes(_keyed(docs, id_col, text_col), shingle, percent, rows, miss)
+    least = named.groupBy("comp").agg(F.min("least.doc_id").alias("component_id"))
     ids = named.join(least, "comp").select("node", "component_id", F.lit(True).alias("known"))
     out = sketches.select("doc_id", "node", F.col("n").alias("n_shingles")).join(ids, "node", "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-6) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each component; empty texts stay."""
+    keyed = _keyed(docs, id_col, text_col)
+    sketches, named = _classes(keyed, shingle, percent, rows, miss)
+    best = named.groupBy("comp").agg(F.min("least").alias("x")).select(F.col("x.k1").alias("_k1"), F.col("x.k2").alias("_k2"), F.col("x.doc_id").alias("_id"), F.lit(True).alias("_one"))
+    empty = sketches.where("n = 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("doc_id").alias("_id"), F.lit(False).alias("_one")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows_ = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(7), text)})
+    kept = best.unionByName(empty)
+    out = rows_.join(kept, (rows_["_t1"] == kept["_k1"]) & (rows_["_t2"] == kept["_k2"]) & rows_[id_col].eqNullSafe(kept["_id"]))
+    # a row that is there several times, id and all, stays once
+    order = Window.partitionBy("_t1", "_t2", id_col).orderBy(F.lit(0))
+    out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1 or not _one")
+    return out.select(*[F.col(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
 
