@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.store import free_name
+
 DEPTH, FIELDS, LEAST_TOKENS, MIN_DOCS = 3, 3, 9, 8
 FIELD = "<*>"
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
@@ -59,20 +61,18 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, fields: int = FIELDS, lea
 
 
 def dedup_lines(docs: DataFrame, most_dropped: float = 1.0, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The rows of docs, all their columns, with the text that is left, n_lines and n_dropped."""
-    names = iter(f"_{x}{i}" for i in range(1_000_000) for x in "k")
-    k = next(x for x in names if x not in docs.columns)
-    rows = docs.withColumn(k, F.xxhash64(F.col(text_col)))
-    keyed = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(k).alias("k")).where("text is not null")
-    gone = dropped_lines(keyed, min_docs=min_docs).select(F.col("doc_id").alias("_gone_id"), F.col("k").alias("_gone_k"), F.col("gone").alias("_gone"))
-    found = rows.join(gone, rows[id_col].eqNullSafe(F.col("_gone_id")) & (rows[k] == F.col("_gone_k")), "left")
-    lines = F.split(rows[text_col], "\n")
-    total = F.when(rows[text_col].isNull(), 0).otherwise(F.size(lines))
-    drop = F.col("_gone").isNotNull() & (F.size("_gone") <= F.lit(most_dropped) * total)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(drop, left).otherwise(rows[text_col])
-    columns = [text.alias(c) if c == text_col else rows[c] for c in docs.columns]
-    return found.select(*columns, total.cast("long").alias("n_lines"), F.when(drop, F.size("_gone")).otherwise(0).cast("long").alias("n_dropped"))
+    """The rows of docs, all their columns, with the text that is left, and n_lines and n_dropped
+    (with underscores added if docs has such columns)."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    gone = dropped_lines(rows.select("doc_id", "text", "k").where("text is not null"), min_docs=min_docs).select(F.col("doc_id").alias("gone_id"), F.col("k").alias("gone_k"), "gone")
+    found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("k") == F.col("gone_k")), "left")
+    lines = F.split("text", "\n")
+    total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    drop = F.col("gone").isNotNull() & (F.size("gone") <= F.lit(most_dropped) * total)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    text = F.when(drop, left).otherwise(F.col("text"))
+    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.select(*columns, total.cast("long").alias(free_name("n_lines", docs.columns)), F.when(drop, F.size("gone")).otherwise(0).cast("long").alias(free_name("n_dropped", docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

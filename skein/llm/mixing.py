@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.store import cut
+from skein.llm.store import cut, free_name
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -133,16 +133,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs, with all its columns and a column copy, as often as it is taken."""
+    """The mix itself: each row of docs, with all its columns, as often as it is taken, and a column
+    copy from 0 (with underscores added if docs has one)."""
     mixed = mix(docs, weights, most, seed, id_col, text_col, source_col)
-    each = mixed.groupBy(F.col("tie").alias("_m1"), F.col("tie2").alias("_m2")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    key = [F.col(c) for c in (id_col, source_col, text_col)]
-    rows = docs.withColumns({"_t1": F.xxhash64(*key), "_t2": F.xxhash64(F.lit(7), *key)})
-    found = rows.join(each, (rows["_t1"] == each["_m1"]) & (rows["_t2"] == each["_m2"]))
+    each = mixed.groupBy("tie", "tie2").agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    key = [docs[c] for c in (id_col, source_col, text_col)]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(*key).alias("tie"), F.xxhash64(F.lit(7), *key).alias("tie2"))
     # rows that are equal share the list of their copies
-    place = F.row_number().over(Window.partitionBy("_t1", "_t2").orderBy(F.lit(0)))
-    found = found.withColumn("_n", F.element_at("_copies", place)).where("_n > 0")
-    return found.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("copy"))
+    place = F.row_number().over(Window.partitionBy("tie", "tie2").orderBy(F.lit(0)))
+    found = rows.join(each, ["tie", "tie2"]).withColumn("n", F.element_at("copies", place)).where("n > 0")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias(free_name("copy", docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

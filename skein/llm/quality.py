@@ -130,10 +130,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the trees accept, with all their columns."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
-
     def run(batches):
         for batch in batches:
             for a, b, data, offs in blocks(batch.column(text_col)):

@@ -29,3 +29,10 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or table_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores added while a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
