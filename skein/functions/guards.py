@@ -36,9 +36,8 @@ def wrap(x: Column, dtype: DType) -> Column:
     """An exact integer (long or decimal) brought into the range of dtype, modulo its size."""
     bits = 8 * dtype.size
     wide = x.cast("decimal(38,0)") if dtype.size == 8 else x.cast("long")
-    half, full = F.lit(-dtype.low), F.lit(1 << bits)
-    if dtype.size == 8:
-        half, full = F.lit(str(-dtype.low)).cast("decimal(38,0)"), F.lit(str(1 << bits)).cast("decimal(38,0)")
+    kind = "decimal(38,0)" if dtype.size == 8 else "long"
+    half, full = F.lit(str(-dtype.low)).cast(kind), F.lit(str(1 << bits)).cast(kind)
     return (F.pmod(wide + half, full) - half).cast(dtype.spark)
 
 
