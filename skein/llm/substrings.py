@@ -2,7 +2,7 @@
 
 Every window of ``window`` words holds the same content-defined anchor wherever it
 starts: the least hash among its runs of ``gram`` words. The index keeps anchors, about
-7 in 100 word positions, as immutable runs sorted by hash. A batch of documents adds a
+8 in 100 word positions, as immutable runs sorted by hash. A batch of documents adds a
 run; a merge join of the runs on the hash finds what repeats, within the batch and against
 history, and compaction replaces the runs by one. Only windows whose anchor repeats
 are then hashed in full (128 bits), counted, and cut out; anchors lose no equal windows.
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.store import cut, table_path
-from skein.llm.text import blocks, mix, powers, row_of, run_hashes, sliding, word_bounds, _ODD
+from skein.llm.text import blocks, row_of, run_hashes, sliding, word_bounds
 
-GRAM = 8
+GRAM = 12
 
 
 def _grams(values: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -106,7 +106,6 @@ def _windows(window: int, gram: int):
     """For the documents of classes with repeated anchors, the windows these anchors may stand for."""
 
     def run(batches):
-        back = window - gram
         for batch in batches:
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "copies")]
             hits = batch.column("hits")
@@ -116,13 +115,13 @@ def _windows(window: int, gram: int):
                 if len(starts) < window:
                     continue
                 words = run_hashes(data, starts, ends)
-                wanted = np.zeros(len(starts) + 1, np.int32)
                 low, high = at[a:b], at[a + 1 : b + 1]
-                row = np.repeat(np.arange(b - a), high - low)
-                p = flat[at[a] : at[b]] + first[:-1][row]
-                np.add.at(wanted, np.maximum(p - back, first[:-1][row]), 1)
-                np.add.at(wanted, p + 1, -1)
-                s = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
+                p = flat[at[a] : at[b]] + first[:-1][np.repeat(np.arange(b - a), high - low)]
+                g = _grams(words, gram, 1)
+                repeated = np.full(len(g), np.iinfo(np.uint64).max)
+                repeated[p] = g[p]
+                width = window - gram + 1
+                s = np.flatnonzero(sliding(g, width) == sliding(repeated, width))
                 own = row_of(first)
                 s = s[s + window <= first[1:][own[s]]]
                 own = own[s]
