@@ -20,6 +20,7 @@ score is the same prior. Repeated rows are scored each. Empty tables give empty
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 from skein.llm.labelled import held_out, odds, sample
 from skein.llm.text import LOWER, blocks, row_of, run_hashes, word_bounds
 
-PER_CLASS = (2_000, 1_500)
+PER_CLASS = (2_000, 1_200)
 THRESHOLD = 0.7
-BUCKETS, DIM = 1 << 16, 16
+BUCKETS, DIM = 1 << 18, 8
+RATE, DAMPING = 30.0, 20.0
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 6, 3
+CALIBRATION = 5
 
 _SPLIT = np.ones(256, bool)
 _SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -81,12 +84,12 @@ def word_grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets).astype(np.int64), np.concatenate(words), first
 
 
-def window_bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_bounds(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word and word after the last of each window, and each text's first window."""
     a, b = [], []
     counts = np.empty(len(first) - 1, np.int64)
     for i, (x, y) in enumerate(zip(first[:-1], first[1:])):
-        heads = np.arange(x, max(x + 1, y - WINDOW + STRIDE), STRIDE)
+        heads = np.arange(x, max(x + 1, y - WINDOW + stride), stride)
         a.append(heads)
         b.append(np.minimum(heads + WINDOW, y))
         counts[i] = len(heads)
@@ -104,8 +107,13 @@ def text_logits(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(logit, at[:-1])
 
 
+def _for_calibration(doc_id) -> bool:
+    """One sampled document in CALIBRATION is not trained on but calibrates the scores, with all its windows."""
+    return crc32(f"calibrate {doc_id}".encode()) % CALIBRATION == 0
+
+
 def _samples(clean_windows: int):
-    """Windows of the sampled documents as lists of buckets with weights."""
+    """Windows of the sampled documents, side by side: buckets word by word, and how many each word has."""
 
     def run(batches):
         for batch in batches:
@@ -116,24 +124,22 @@ def _samples(clean_windows: int):
                 order = np.argsort(word, kind="stable")
                 bucket, word = bucket[order], word[order]
                 gram_at = np.searchsorted(word, np.arange(first[-1] + 1))
-                per_word = 1.0 / np.maximum(np.diff(gram_at), 1)
-                a, b, at = window_bounds(first)
-                out = {"label": [], "window": [], "buckets": [], "weights": [], "row": []}
+                a, b, at = window_bounds(first, WINDOW)
+                out = {"label": [], "window": [], "buckets": [], "counts": [], "row": []}
                 for i in range(y - x):
                     picked = range(at[i], at[i + 1])
-                    if labels[x + i] == 0 and len(picked) > clean_windows:
+                    if labels[x + i] == 0 and len(picked) > clean_windows and not _for_calibration(ids[x + i].as_py()):
                         picked = np.linspace(at[i], at[i + 1] - 1, clean_windows).astype(int)
                     for k in picked:
-                        g = slice(gram_at[a[k]], gram_at[b[k]])
                         out["label"].append(int(labels[x + i]))
                         out["window"].append(int(k - at[i]))
                         out["row"].append(i)
-                        out["buckets"].append(bucket[g].astype(np.int32))
-                        out["weights"].append((per_word[word[g]] / max(1, b[k] - a[k])).astype(np.float32))
+                        out["buckets"].append(bucket[gram_at[a[k]] : gram_at[b[k]]].astype(np.int32))
+                        out["counts"].append(np.diff(gram_at[a[k] : b[k] + 1]).astype(np.int32))
                 if out["row"]:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(np.array(out["row"]) + x)), pa.array(out["label"], pa.int32()), pa.array(out["window"], pa.int32()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["weights"], pa.list_(pa.float32()))],
-                        ["doc_id", "label", "window", "buckets", "weights"],
+                        [ids.take(pa.array(np.array(out["row"]) + x)), pa.array(out["label"], pa.int32()), pa.array(out["window"], pa.int32()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["counts"], pa.list_(pa.int32()))],
+                        ["doc_id", "label", "window", "buckets", "counts"],
                     )
 
     return run
@@ -147,17 +153,22 @@ class _Trainer:
 
     def __init__(self, bucket: np.ndarray, weight: np.ndarray, at: np.ndarray, seed: int = 7):
         draw = np.random.default_rng(seed)
-        self.table = draw.normal(0, 0.3 / np.sqrt(DIM), (BUCKETS, DIM))
+        self.table = draw.normal(0, 0.01 / np.sqrt(DIM), (BUCKETS, DIM))  # near 0: an n-gram never seen says nothing
         self.w = draw.normal(0, 1, DIM)
         self.bias = 0.0
         self.bucket, self.weight, self.at = bucket, weight, at
-        self.seen = np.full(BUCKETS, 1e-8)
+        self.seen = np.full(BUCKETS, DAMPING)
         self.draw = draw
 
     def logits(self) -> np.ndarray:
         value = self.table @ (2 * self.w)
-        sums = np.concatenate([[0], np.cumsum(value[self.bucket] * self.weight)])
-        return sums[self.at[1:]] - sums[self.at[:-1]] + self.bias
+        out = np.empty(len(self.at) - 1)
+        for k in range(0, len(out), 8192):  # in parts, as the driver's memory is small
+            at = self.at[k : k + 8193]
+            own = slice(at[0], at[-1])
+            sums = np.concatenate([[0], np.cumsum(value[self.bucket[own]] * self.weight[own])])
+            out[k : k + 8192] = sums[at[1:] - at[0]] - sums[at[:-1] - at[0]]
+        return out + self.bias
 
     def epoch(self, windows: np.ndarray, target: np.ndarray, mass: np.ndarray, rate: float, step: int = 4096) -> None:
         order = self.draw.permutation(len(windows))
@@ -171,10 +182,12 @@ class _Trainer:
             logit = np.bincount(which, value[bucket] * weight, len(part)) + self.bias
             off = mass[part] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target[part])
             pull = np.bincount(bucket, off[which] * weight, BUCKETS)
-            self.seen += pull**2
-            move = rate * pull / np.sqrt(self.seen)
-            gradient_w = 2 * (pull @ self.table)
-            self.table -= np.outer(move, 2 * self.w)
+            hit = np.flatnonzero(pull)
+            pull = pull[hit]
+            self.seen[hit] += pull**2  # a rare n-gram moves little
+            move = rate * pull / np.sqrt(self.seen[hit])
+            gradient_w = 2 * (pull @ self.table[hit])
+            self.table[hit] -= np.outer(move, 2 * self.w)
             self.w -= 0.05 * gradient_w / (np.abs(mass[part]).sum() + 1e-9)
             self.bias -= 0.5 * off.sum() / (mass[part].sum() + 1e-9)
 
@@ -195,39 +208,50 @@ def _calibrated(best: np.ndarray, y: np.ndarray, odds_of_one: float) -> tuple[fl
 
 
 def train(rows, odds_of_one: float, rounds: int = 4, epochs: int = 6) -> Model:
-    """rows: a pandas frame of windows (doc_id, label, window, buckets, weights)."""
+    """rows: a pandas frame of windows (doc_id, label, window, buckets, counts)."""
     if not len(rows) or rows["label"].nunique() < 2:
         share = odds_of_one / (1 + odds_of_one)
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
     rows = rows.sort_values(["doc_id", "window"], kind="stable").reset_index(drop=True)
     at = np.concatenate([[0], np.cumsum(rows["buckets"].map(len).to_numpy())])
-    trainer = _Trainer(np.concatenate(rows["buckets"].to_numpy()).astype(np.int64), np.concatenate(rows["weights"].to_numpy()).astype(np.float64), at)
+    n_words = rows["counts"].map(len).to_numpy()
+    counts = np.concatenate(rows.pop("counts").to_numpy()).astype(np.int64)
+    each = 1 / (np.maximum(counts, 1) * np.repeat(n_words, n_words))
+    weight = np.repeat(each.astype(np.float32), counts)
+    trainer = _Trainer(np.concatenate(rows.pop("buckets").to_numpy()).astype(np.int32, copy=False), weight, at)
     label = rows["label"].to_numpy(np.float64)
     change = (rows["doc_id"].to_numpy()[1:] != rows["doc_id"].to_numpy()[:-1]) | (rows["window"].to_numpy()[1:] == 0)
     doc_at = np.concatenate([[0], np.flatnonzero(change) + 1])
     doc = np.concatenate([[0], np.cumsum(change)])
-    toxic, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    chosen, mass = np.arange(len(label)), np.where(label == 1, 0.5 * len(label) / len(toxic), 0.5 * len(label) / len(clean))
+    ids = rows["doc_id"].to_numpy()[doc_at]
+    aside = np.array([_for_calibration(i) for i in ids])
+    if len(set(label[doc_at][aside])) < 2 or len(set(label[doc_at][~aside])) < 2:
+        aside[:] = False  # too few documents to set some aside
+    trained = ~aside[doc]
+    toxic, clean = np.flatnonzero((label == 1) & trained), np.flatnonzero((label == 0) & trained)
+    chosen = np.concatenate([toxic, clean])
+    mass = np.zeros(len(label))
+    mass[toxic], mass[clean] = 0.5 * len(chosen) / len(toxic), 0.5 * len(chosen) / len(clean)
     for turn in range(rounds):
         for _ in range(epochs):
-            trainer.epoch(chosen, label[chosen], mass[chosen], 0.1)
+            trainer.epoch(chosen, label[chosen], mass[chosen], RATE)
         logit = trainer.logits()
         # each toxic document by its most toxic window and what comes near it; all clean windows
         best = np.maximum.reduceat(logit, doc_at)
         kept = toxic[(logit[toxic] >= best[doc[toxic]] - 1e-9) | (logit[toxic] > np.quantile(logit[clean], 0.999))]
         chosen = np.concatenate([kept, clean])
         mass = np.zeros(len(label))
-        mass[kept] = 0.3 * len(chosen) / len(kept)
-        mass[clean] = 0.7 * len(chosen) / len(clean)
+        mass[kept], mass[clean] = 0.3 * len(chosen) / len(kept), 0.7 * len(chosen) / len(clean)
     best = np.maximum.reduceat(trainer.logits(), doc_at)
-    scale, shift = _calibrated(best, label[doc_at], odds_of_one)
+    judged = aside if aside.any() else np.ones(len(best), bool)
+    scale, shift = _calibrated(best[judged], label[doc_at][judged], odds_of_one)
     return Model(trainer.table @ (2 * trainer.w), trainer.bias, scale, shift)
 
 
-def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: tuple[int, int] = PER_CLASS, clean_windows: int = 60, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: tuple[int, int] = PER_CLASS, clean_windows: int = 40, id_col: str = "doc_id", text_col: str = "text") -> Model:
     picked = sample(labels, docs, label_col, folds, fold, per_class, id_col, text_col)
     kind = picked.schema["doc_id"].dataType.simpleString()
-    rows = picked.select("doc_id", "label", "text").mapInArrow(_samples(clean_windows), f"doc_id {kind}, label int, window int, buckets array<int>, weights array<float>")
+    rows = picked.select("doc_id", "label", "text").mapInArrow(_samples(clean_windows), f"doc_id {kind}, label int, window int, buckets array<int>, counts array<int>")
     return train(rows.toPandas(), odds(labels, label_col, folds, fold, id_col))
 
 
