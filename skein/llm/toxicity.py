@@ -33,10 +33,12 @@ from skein.llm.text import LOWER, blocks, row_of, run_hashes, word_bounds
 PER_CLASS = (2_000, 1_200)
 THRESHOLD = 0.7
 BUCKETS, DIM = 1 << 18, 8
-RATE, DAMPING = 30.0, 20.0
-GRAMS = (3, 4, 5)
-WINDOW, STRIDE = 6, 3
+RATE, DAMPING, STEP, SHRINK = 30.0, 20.0, 4096, 0.9
+GRAMS = (3, 4)
+WINDOW, STRIDE = 4, 2
 CALIBRATION = 5
+#: What a word with one letter wrong keeps of its n-grams; calibration counts toxic documents with that share too.
+SPELLING = 0.65
 
 _SPLIT = np.ones(256, bool)
 _SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -84,12 +86,12 @@ def word_grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets).astype(np.int64), np.concatenate(words), first
 
 
-def window_bounds(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_bounds(first: np.ndarray, stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word and word after the last of each window, and each text's first window."""
     a, b = [], []
     counts = np.empty(len(first) - 1, np.int64)
     for i, (x, y) in enumerate(zip(first[:-1], first[1:])):
-        heads = np.arange(x, max(x + 1, y - WINDOW + stride), stride)
+        heads = np.arange(x, max(x + 1, y - WINDOW + (stride or STRIDE)), stride or STRIDE)
         a.append(heads)
         b.append(np.minimum(heads + WINDOW, y))
         counts[i] = len(heads)
@@ -170,8 +172,9 @@ class _Trainer:
             out[k : k + 8192] = sums[at[1:] - at[0]] - sums[at[:-1] - at[0]]
         return out + self.bias
 
-    def epoch(self, windows: np.ndarray, target: np.ndarray, mass: np.ndarray, rate: float, step: int = 4096) -> None:
+    def epoch(self, windows: np.ndarray, target: np.ndarray, mass: np.ndarray, rate: float) -> None:
         order = self.draw.permutation(len(windows))
+        step = min(STEP, max(64, len(order) // 60))  # small samples get as many steps, scaled alike
         for k in range(0, len(order), step):
             part = order[k : k + step]
             own = windows[part]
@@ -181,15 +184,16 @@ class _Trainer:
             value = self.table @ (2 * self.w)
             logit = np.bincount(which, value[bucket] * weight, len(part)) + self.bias
             off = mass[part] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target[part])
-            pull = np.bincount(bucket, off[which] * weight, BUCKETS)
+            pull = np.bincount(bucket, off[which] * weight, BUCKETS) * (STEP / len(part))
             hit = np.flatnonzero(pull)
             pull = pull[hit]
             self.seen[hit] += pull**2  # a rare n-gram moves little
             move = rate * pull / np.sqrt(self.seen[hit])
-            gradient_w = 2 * (pull @ self.table[hit])
+            gradient_w = 2 * (pull @ self.table[hit]) * (len(part) / STEP)
             self.table[hit] -= np.outer(move, 2 * self.w)
             self.w -= 0.05 * gradient_w / (np.abs(mass[part]).sum() + 1e-9)
             self.bias -= 0.5 * off.sum() / (mass[part].sum() + 1e-9)
+        self.table *= SHRINK  # what common words say by chance fades, what toxic words say is learnt again
 
 
 def _calibrated(best: np.ndarray, y: np.ndarray, odds_of_one: float) -> tuple[float, float]:
@@ -233,8 +237,8 @@ def train(rows, odds_of_one: float, rounds: int = 4, epochs: int = 6) -> Model:
     mass = np.zeros(len(label))
     mass[toxic], mass[clean] = 0.5 * len(chosen) / len(toxic), 0.5 * len(chosen) / len(clean)
     for turn in range(rounds):
-        for _ in range(epochs):
-            trainer.epoch(chosen, label[chosen], mass[chosen], RATE)
+        for k in range(epochs):
+            trainer.epoch(chosen, label[chosen], mass[chosen], RATE * (1 - (turn * epochs + k) / (rounds * epochs)))
         logit = trainer.logits()
         # each toxic document by its most toxic window and what comes near it; all clean windows
         best = np.maximum.reduceat(logit, doc_at)
@@ -244,7 +248,9 @@ def train(rows, odds_of_one: float, rounds: int = 4, epochs: int = 6) -> Model:
         mass[kept], mass[clean] = 0.3 * len(chosen) / len(kept), 0.7 * len(chosen) / len(clean)
     best = np.maximum.reduceat(trainer.logits(), doc_at)
     judged = aside if aside.any() else np.ones(len(best), bool)
-    scale, shift = _calibrated(best[judged], label[doc_at][judged], odds_of_one)
+    y, best = label[doc_at][judged], best[judged]
+    misspelt = trainer.bias + SPELLING * (best[y == 1] - trainer.bias)
+    scale, shift = _calibrated(np.concatenate([best, misspelt]), np.concatenate([y, np.ones(len(misspelt))]), odds_of_one)
     return Model(trainer.table @ (2 * trainer.w), trainer.bias, scale, shift)
 
 
