@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree. [native]
 
-A line is its tokens between blanks; a token with a digit is a variable field ``<*>``. The tree has a
+A line is its tokens between spaces; a token with a digit is a variable field ``<*>``. The tree has a
 fixed depth: token count, then the first ``depth`` tokens. In its leaf a line stands for several
 templates: itself, and, if it has ``least_tokens`` tokens, itself with one run of its other
 tokens (one of ``fields`` equal shares) generalised to a field. A template that ``min_docs``
@@ -24,13 +24,17 @@ from skein.llm.store import free_name
 
 DEPTH, FIELDS, LEAST_TOKENS, MIN_DOCS = 3, 3, 9, 8
 FIELD = "<*>"
-_BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
 def masked(line: Column) -> Column:
-    """Tokens joined by one space, each token with a digit as a field."""
-    plain = F.trim(F.regexp_replace(line, _BLANKS, " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(plain)
+    """The line with each token that has a digit as a field."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: Catalyst would copy their expressions to each use,
+    but doesn't look into a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def templates(tokens: Column, n: Column, depth: int, fields: int, least_tokens: int) -> Column:
@@ -47,16 +51,15 @@ def templates(tokens: Column, n: Column, depth: int, fields: int, least_tokens:
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, fields: int = FIELDS, least_tokens: int = LEAST_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
     """For documents (doc_id, text, k): k, id and the positions, from 0, of lines with a recurring template."""
     lines = docs.select("doc_id", "k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "k", "pos", masked(F.col("line")).alias("line")).where("line <> ''")
-    lines = lines.withColumn("tokens", F.split("line", " ")).withColumn("n", F.size("tokens"))
-    leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
-    placed = lines.select("doc_id", "k", "pos", leaf.alias("leaf"), templates(F.col("tokens"), F.col("n"), depth, fields, least_tokens).alias("templates"))
+    lines = once(lines, tokens=F.array_remove(F.split(masked(F.col("line")), " "), "")).drop("line")
+    lines = once(lines, n=F.size("tokens"), leaf=F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))).where("n > 0")
+    placed = lines.select("doc_id", "k", "pos", "leaf", templates(F.col("tokens"), F.col("n"), depth, fields, least_tokens).alias("templates"))
     leaves = placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     live = placed.join(leaves, "leaf", "left_semi").select("doc_id", "k", "pos", F.explode("templates").alias("template"))
-    once = live.groupBy("template", "doc_id", "k").agg(F.collect_set("pos").alias("at"))
+    each = live.groupBy("template", "doc_id", "k").agg(F.collect_set("pos").alias("at"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    common = once.groupBy("template").agg(F.count("*").alias("docs"), F.min(first).alias("first")).where(F.col("docs") >= min_docs)
-    later = once.join(common, "template").where(first > F.col("first"))
+    common = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(first).alias("first")).where(F.col("docs") >= min_docs)
+    later = each.join(common, "template").where(first > F.col("first"))
     return later.select("doc_id", "k", F.explode("at").alias("pos")).groupBy("doc_id", "k").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -83,9 +86,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
-m AS (SELECT r, doc_id, pos, string_split(regexp_replace(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), '[^ 0-9]*[0-9][^ ]*', '{FIELD}', 'g'), ' ') AS t
-      FROM l WHERE trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')) <> ''),
-f AS (SELECT r, doc_id, pos, t, len(t) AS n, unnest(CASE WHEN len(t) >= {LEAST_TOKENS} THEN range(0, {FIELDS + 1}) ELSE [0] END) AS i FROM m),
+m AS (SELECT r, doc_id, pos, list_filter(string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '{FIELD}', 'g'), ' '), lambda x: x <> '') AS t FROM l),
+f AS (SELECT r, doc_id, pos, t, len(t) AS n, unnest(CASE WHEN len(t) >= {LEAST_TOKENS} THEN range(0, {FIELDS + 1}) ELSE [0] END) AS i FROM m WHERE len(t) > 0),
 tpl AS (SELECT r, doc_id, pos, CASE WHEN i = 0 THEN [0::VARCHAR] || t
           ELSE [i::VARCHAR, n::VARCHAR] || list_slice(t, 1, ((n - {DEPTH}) * (i - 1)) // {FIELDS} + {DEPTH}) || list_slice(t, ((n - {DEPTH}) * i) // {FIELDS} + {DEPTH} + 1, n) END AS tp FROM f),
 c AS (SELECT tp, min(doc_id) AS least FROM tpl GROUP BY tp HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
