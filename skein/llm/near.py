@@ -9,9 +9,12 @@ many that a pair at the threshold misses all of them with a chance of ``miss`` a
 are estimated jointly, by the likelihood of J given both set sizes and how many registers are
 greater, equal and less, and those not far below the threshold are confirmed on the full sets.
 
-No bucket is expanded into all pairs: its members meet its least node, then, where that left
-several components, other centres; pairs that still lie in one bucket and in different
-components are then compared, all of them, so no link between components is lost to a cap.
+No bucket is expanded into all pairs. Its members first meet its least node. Where that leaves
+several components in a bucket, the members of the others meet all of the one with most members
+there (the hub), and what still differs then meets what else is in the bucket but the hub. So any two
+nodes that share a bucket end in one component or have been compared on their full sets; nothing
+is capped. These comparisons are made between blocks of at most BLOCK nodes, whose sets travel
+once for each block they meet, and give at most one link for each component of a block.
 
 Nulls: a null text is empty; empty texts have n_shingles 0 and are linked with nothing; a null
 id is never the least unless all are null. Fewer words than ``shingle`` count as one
@@ -36,7 +39,8 @@ BASE, OFFSET, TOP = 1.001, 8192, 65535
 BROADCAST_NODES = 200_000
 #: An estimate may lie this much below the threshold: five standard deviations of 112 registers.
 SLACK = 0.2
-ROUNDS = 3
+#: Nodes that one task compares with as many others.
+BLOCK = 256
 
 
 def n_bands(similarity: float, rows: int, miss: float) -> int:
@@ -143,39 +147,98 @@ def _likely(least: float):
     return run
 
 
-def _confirmed(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+def _shared_counts(p: list[np.ndarray], q: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
+    """Sizes of the intersections of every set of p with every set of q."""
+    common = np.intersect1d(np.concatenate(p), np.concatenate(q))
+    out = np.zeros((len(p), len(q)), np.float32)
+    for a in range(0, len(common), width):
+        part = common[a : a + width]
+        sides = []
+        for sets in (p, q):
+            dense = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                dense[i, at[part[at] == s]] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _compared(percent: int):
+    """Links between rows of the two sides (side 2: of both) that lie in different components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side = rows.column("side").to_numpy()
+        comp, node = rows.column("comp").to_pylist(), rows.column("node").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("items").to_pylist()]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        a, b = [], []
+        if len(left) and len(right):
+            both = _shared_counts([sets[i] for i in left], [sets[i] for i in right])
+            n = np.array([len(s) for s in sets], np.float32)
+            union = n[left][:, None] + n[right][None, :] - both
+            root = {c: c for c in comp}
+
+            def top(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for i, j in zip(*np.nonzero(100 * both.astype(np.float64) >= percent * union.astype(np.float64))):
+                x, y = top(comp[left[i]]), top(comp[right[j]])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(node[left[i]])
+                    b.append(node[right[j]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
 
 class _Links:
-    """Candidate pairs in, confirmed links out; keeps the sets that were needed before."""
+    """Compares the full sets of groups of nodes; a set is made once."""
 
     def __init__(self, rows: DataFrame, reps: DataFrame, shingle: int, percent: int):
         self.rows, self.reps, self.shingle, self.percent = rows, reps, shingle, percent
 
-    def of(self, pairs: DataFrame) -> DataFrame:
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose estimate is not far below the threshold."""
         side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
         # sets whose sizes alone rule the threshold out need no estimate
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(self.percent) * F.greatest("n_a", "n_b"))
-        likely = cut(sized.mapInArrow(_likely(self.percent / 100 - SLACK), pairs.select("a", "b").schema), "likely")
-        nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        needed = cut(self.reps.join(nodes, "node", "left_semi").select("node", "least.*"), "needed")
+        return cut(sized.mapInArrow(_likely(self.percent / 100 - SLACK), pairs.select("a", "b").schema), "likely")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        needed = cut(self.reps.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "least.*"), "needed")
         if needed.count() <= BROADCAST_NODES:
             needed = F.broadcast(needed)
         left = self.rows.select("text", "k1", "k2", F.col("doc_id").alias("own"))
         texts = left.join(needed, ["k1", "k2"]).where(F.col("own").eqNullSafe(F.col("doc_id"))).select("node", "text")
-        sets = cut(texts.mapInArrow(_sets(self.shingle), "node binary, items binary").dropDuplicates(["node"]), "sets")
-        with_sets = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
-        return cut(likely.join(with_sets("a"), "a").join(with_sets("b"), "b").mapInArrow(_confirmed(self.percent), likely.schema), "links")
+        return texts.mapInArrow(_sets(self.shingle), "node binary, items binary").dropDuplicates(["node"])
+
+    def grouped(self, rows: DataFrame) -> DataFrame:
+        """rows: g, i, j, side, node, comp; a task for each (g, i, j)."""
+        rows = cut(rows, "blocks")
+        found = rows.join(self.sets(rows), "node").groupBy("g", "i", "j").applyInArrow(_compared(self.percent), "a binary, b binary")
+        return cut(found, "links")
+
+    def across(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """left and right: g, node, comp; links between the two sides of each g."""
+        counts = left.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("p")).join(right.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("q")), "g")
+        own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+        a = left.join(counts, "g").select("g", own(F.col("p")).alias("i"), every("q").alias("j"), F.lit(0).alias("side"), "node", "comp")
+        b = right.join(counts, "g").select("g", every("p").alias("i"), own(F.col("q")).alias("j"), F.lit(1).alias("side"), "node", "comp")
+        return self.grouped(a.unionByName(b))
+
+    def within(self, rows: DataFrame) -> DataFrame:
+        """rows: g, node, comp; links between any two of each g."""
+        counts = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))
+        own = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
+        each = rows.join(counts, "g").withColumn("o", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+        return self.grouped(each.select("g", F.least("o", "t").alias("i"), F.greatest("o", "t").alias("j"), F.lit(2).alias("side"), "node", "comp"))
 
 
 def _ordered(pairs: DataFrame, x, y) -> DataFrame:
@@ -201,33 +264,27 @@ def _classes(texts: DataFrame, shingle: int, percent: int, rows: int, miss: floa
     members = cut(placed.join(shared, "bucket"), "members")
 
     links_of = _Links(texts, reps, shingle, percent)
-    tested = cut(_ordered(members, "node", "centre"), "pairs")
-    links = links_of.of(tested)
+    stars = links_of.likely(_ordered(members, "node", "centre"))
+    centres = stars.select(F.col("a").alias("g"), F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
+    links = links_of.across(centres, stars.select(F.col("a").alias("g"), F.col("b").alias("node"), F.col("b").alias("comp")))
     found = components(links)
-    for turn in range(ROUNDS + 1):
-        labelled = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        groups = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-        mixed = groups.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps")).where("comps > 1")
-        labelled = cut(labelled.join(mixed.select("bucket", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("across")), "bucket").where("size > 2"), "mixed")
-        across, n = labelled.groupBy("bucket").agg(F.first("across").alias("across")).agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0], labelled.count()
-        if not n:
-            break
-        last = turn == ROUNDS or across <= 4 * n
-        if last:
-            other = labelled.select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-            pairs = labelled.join(other, "bucket").where("comp < comp2")
-            pairs = _ordered(pairs, "node", "node2")
-        else:
-            centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("x")).select("bucket", F.col("x.node").alias("node2"), F.col("x.comp").alias("comp2"))
-            pairs = _ordered(labelled.join(centres, "bucket").where("comp <> comp2"), "node", "node2")
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        more = links_of.of(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        if last:
-            break
+
+    labelled = lambda rows: rows.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = cut(labelled(members.select("bucket", "node", "size").where("size > 2")), "placed")
+    hubs = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("comps")).where("comps > 1")
+    hubs = cut(hubs.select("bucket", F.col("x.comp").alias("g")), "hubs")
+    mixed = cut(placed.join(hubs, "bucket").where("comp <> g"), "mixed")
+    if not mixed.isEmpty():
+        right = cut(mixed.select("g", "node", "comp").distinct(), "right")
+        left = placed.select(F.col("comp").alias("g"), "node", "comp").distinct().join(right.select("g").distinct(), "g", "left_semi")
+        links = links.unionByName(links_of.across(left, right))
+        # what is in a bucket beside its hub; buckets with the same rest are one group
+        alike = mixed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("p"), F.max("comp").alias("q"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("y")).where("p <> q")
+        alike = alike.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+        rest = cut(mixed.join(alike, "bucket", "left_semi").select(F.col("bucket").alias("g"), "node", "comp"), "rest")
+        if not rest.isEmpty():
+            links = links.unionByName(links_of.within(rest))
+        found = components(links)
 
     return sketches, reps.select("node", "least").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
@@ -246,16 +303,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, with all their columns, of one document of each component; empty texts stay."""
     keyed = _keyed(docs, id_col, text_col)
     sketches, named = _classes(keyed, shingle, percent, rows, miss)
-    best = named.groupBy("comp").agg(F.min("least").alias("x")).select(F.col("x.k1").alias("_k1"), F.col("x.k2").alias("_k2"), F.col("x.doc_id").alias("_id"), F.lit(True).alias("_one"))
-    empty = sketches.where("n = 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("doc_id").alias("_id"), F.lit(False).alias("_one")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows_ = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(7), text)})
-    kept = best.unionByName(empty)
-    out = rows_.join(kept, (rows_["_t1"] == kept["_k1"]) & (rows_["_t2"] == kept["_k2"]) & rows_[id_col].eqNullSafe(kept["_id"]))
+    best = named.groupBy("comp").agg(F.min("least").alias("x")).select("x.k1", "x.k2", "x.doc_id", F.lit(True).alias("one"))
+    empty = sketches.where("n = 0").select("k1", "k2", "doc_id", F.lit(False).alias("one")).distinct()
+    kept = best.unionByName(empty).withColumnRenamed("doc_id", "kept_id")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows_ = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("own_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
+    out = rows_.join(kept, ["k1", "k2"]).where(F.col("own_id").eqNullSafe(F.col("kept_id")))
     # a row that is there several times, id and all, stays once
-    order = Window.partitionBy("_t1", "_t2", id_col).orderBy(F.lit(0))
-    out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1 or not _one")
-    return out.select(*[F.col(c) for c in docs.columns])
+    order = Window.partitionBy("k1", "k2", "own_id").orderBy(F.lit(0))
+    out = out.withColumn("nth", F.row_number().over(order)).where("nth = 1 or not one")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
