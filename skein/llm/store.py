@@ -31,6 +31,12 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, with underscores added while a column has it."""
     while name.lower() in {c.lower() for c in taken}:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.store import cut, table_path
+from skein.llm.store import cut, remove, table_path
 from skein.llm.text import blocks, row_of, run_hashes, sliding, word_bounds
 
 GRAM = 12
@@ -92,10 +92,13 @@ class FingerprintIndex:
         self._write(hashes.groupBy("h").agg(F.count("*").alias("n")))
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones stay on disk for readers that still use them."""
+        """Merge all runs into one and delete them; frames that were read from them before are void."""
         if len(self.runs) > 1:
-            merged, self.runs = self.read().groupBy("h").agg(F.sum("n").alias("n")), []
+            old, merged = self.runs, self.read().groupBy("h").agg(F.sum("n").alias("n"))
+            self.runs = []
             self._write(merged)
+            for path in old:
+                remove(self.spark, path)
 
     def repeated(self) -> DataFrame:
         """Hashes that occurred twice at least, over all runs."""
@@ -190,7 +193,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.compact()
 
     anchors = rows.select("text", "k1", "k2").mapInArrow(_anchor_rows(window, gram, True), "h long, k1 long, k2 long, p int")
-    hits = anchors.join(index.repeated(), "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("p").alias("hits"))
+    repeated = cut(index.repeated(), "repeated")  # a table of its own, so that the join may split a common anchor
+    hits = anchors.join(repeated, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("p").alias("hits"))
     classes = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     classes = cut(classes.join(hits, ["k1", "k2"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>"))), "classes")
 
