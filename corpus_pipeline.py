@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from skein.llm import benchmark, lines, mixing, near, quality, store
 
-#: A document that would lose a greater share of its lines is a copy and is left to near-dedup.
-MOST_LINES_DROPPED = 0.5
+#: Recurring lines go from every document, however many of its lines they are.
+MOST_LINES_DROPPED = 1.0
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go; n_chars follows the text."""
+    """Lines whose template recurs go; n_chars follows the text, which may become empty."""
     found = lines.dedup_lines(docs, most_dropped=MOST_LINES_DROPPED)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*docs.columns)

@@ -8,8 +8,8 @@ documents share recurs; a line with such a template is dropped, except in the do
 least id that has the template. Leaves that too few lines reach are pruned before any template is
 counted, so only what may recur is shuffled by template.
 
-A document of which more than ``most_dropped`` of the lines would go is a copy rather than a page
-with boilerplate; it is left whole, for document dedup to judge (1.0: never).
+A document of which more than ``most_dropped`` of the lines would go is left whole, whether it is a
+copy or a page with much boilerplate (1.0: none is).
 
 Nulls: a null text has no lines and stays null; a null id counts as the greatest. Blank lines are never
 templates and are kept. Repeated rows count as one document. Empty tables give empty results.

@@ -51,6 +51,13 @@ def test_empty_documents(spark, sf):
         assert stage(spark, odd, sf).count() == 3, name
 
 
+def test_pages_of_mostly_boilerplate_lose_it(spark, make):
+    frame = "Home About Contact\nsign up for our letter\nterms and privacy\nall rights reserved"
+    docs = make([(i, f"{frame}\nown story {'abcdefghijkl'[i]}") for i in range(12)]).withColumn("n_chars", F.char_length("text").cast("long"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.lines_stage(spark, docs, "").collect()}
+    assert got[0][0].startswith(frame) and all(got[i] == (f"own story {'abcdefghijkl'[i]}", 11) for i in range(1, 12))
+
+
 def test_registry(spark, sf):
     assert [f"op{i}" for i in range(1, 11)] == [n.split("_")[0] for n in queries()]
     con = duckdb.connect()
