@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.store import free_name
 
-DEPTH, FIELDS, LEAST_TOKENS, MIN_DOCS = 3, 3, 9, 8
+DEPTH, FIELDS, LEAST_TOKENS, MIN_DOCS = 3, 3, 9, 2
 FIELD = "<*>"
 
 

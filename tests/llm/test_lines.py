@@ -53,6 +53,12 @@ def test_copies_are_left_whole(make):
     assert [r["text"] for r in L.dedup_lines(docs, min_docs=3).orderBy("doc_id").collect()] == ["a b c\nd e f\ng h i"] + [""] * 8
 
 
+def test_two_documents_make_a_line_recur(make):
+    rows = [(1, "own one\nshared by two"), (2, "shared by two\nown two\nshared by three"), (3, "shared by three"), (4, "own four\nshared by three")]
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(make(rows)).collect()}
+    assert got == brute(rows, 2) == {1: "own one\nshared by two", 2: "own two\nshared by three", 3: "", 4: "own four"}
+
+
 def test_odd_rows(odd, none):
     got = L.dedup_lines(odd, min_docs=1)
     assert got.count() == odd.count() and got.select(odd.columns).exceptAll(odd).count() == 0
