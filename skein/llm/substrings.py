@@ -7,6 +7,10 @@ run; a merge join of the runs on the hash finds what repeats, within the batch a
 history, and compaction replaces the runs by one. Only windows whose anchor repeats
 are then hashed in full (128 bits), counted, and cut out; anchors lose no equal windows.
 
+An index that is given also keeps the hashes of all windows, as runs of their own, so that a later call cuts
+out what repeats there. It is reopened from its path. It holds one window size; a batch that is given
+twice repeats itself.
+
 Nulls: a null text has no words; a null id is kept. Texts under ``window`` words lose
 nothing. Repeated rows are documents of their own, so each removes the other's windows.
 Empty tables give empty results. Other columns of the input are ignored.
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.store import cut, remove, table_path
+from skein.llm.store import cut, listed, remove, table_path
 from skein.llm.text import blocks, row_of, run_hashes, sliding, word_bounds
 
 GRAM = 12
@@ -69,32 +73,42 @@ def _anchor_rows(window: int, gram: int, keyed: bool):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (h, n): hashes and how often they occurred."""
+    """Sorted immutable runs of (h, n): hashes and how often they occurred. Whole runs in path are reopened."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, keys: tuple[str, ...] = ("h",)):
+        self.spark, self.path, self.keys = spark, path or table_path(spark, "runs"), keys
+        there = [x for x in listed(spark, self.path) if x.startswith("run-")]
+        self.runs = [f"{self.path}/{x}" for x in there if "_SUCCESS" in listed(spark, f"{self.path}/{x}")]
+        self._made = 1 + max((int(x.removeprefix("run-")) for x in there), default=-1)
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.runs = spark, path or table_path(spark, "runs"), []
-        self._made = 0
+    def windows(self, window: int) -> FingerprintIndex:
+        """The runs of window hashes, beside those of anchors."""
+        name = f"windows-{window}"
+        if other := [x for x in listed(self.spark, self.path) if x.startswith("windows-") and x != name]:
+            raise ValueError(f"the index at {self.path} holds {other[0]}, not {name}")
+        return FingerprintIndex(self.spark, f"{self.path}/{name}", ("w1", "w2"))
 
     def _write(self, counted: DataFrame) -> None:
         at = f"{self.path}/run-{self._made}"
         self._made += 1
-        counted.sortWithinPartitions("h").write.option("compression", "zstd").parquet(at)
+        counted.sortWithinPartitions(*self.keys).write.option("compression", "zstd").parquet(at)
         self.runs.append(at)
 
     def read(self) -> DataFrame:
         """All runs; empty if there are none."""
+        shape = ", ".join(f"{k} long" for k in (*self.keys, "n"))
         if not self.runs:
-            return self.spark.createDataFrame([], "h long, n long")
-        return self.spark.read.schema("h long, n long").parquet(*self.runs)
+            return self.spark.createDataFrame([], shape)
+        return self.spark.read.schema(shape).parquet(*self.runs)
 
     def add(self, hashes: DataFrame) -> None:
         """Append a batch as a run of its own."""
-        self._write(hashes.groupBy("h").agg(F.count("*").alias("n")))
+        self._write(hashes.groupBy(*self.keys).agg(F.count("*").alias("n")))
 
     def compact(self) -> None:
         """Merge all runs into one and delete them; frames that were read from them before are void."""
         if len(self.runs) > 1:
-            old, merged = self.runs, self.read().groupBy("h").agg(F.sum("n").alias("n"))
+            old, merged = self.runs, self.read().groupBy(*self.keys).agg(F.sum("n").alias("n"))
             self.runs = []
             self._write(merged)
             for path in old:
@@ -102,7 +116,23 @@ class FingerprintIndex:
 
     def repeated(self) -> DataFrame:
         """Hashes that occurred twice at least, over all runs."""
-        return self.read().groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+        return self.read().groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n > 1").select(*self.keys)
+
+
+def _all_windows(window: int):
+    """Hashes of every window."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offs in blocks(batch.column("text")):
+                starts, ends, first = word_bounds(data, offs)
+                s = np.arange(max(0, len(starts) - window + 1))
+                s = s[s + window <= first[1:][row_of(first)[s]]]
+                words = run_hashes(data, starts, ends)
+                w = [run_hashes(words, s, s + window, seed) if len(s) else np.zeros(0, np.uint64) for seed in (2, 3)]
+                yield pa.RecordBatch.from_pydict({"w1": pa.array(w[0].view(np.int64)), "w2": pa.array(w[1].view(np.int64))})
+
+    return run
 
 
 def _windows(window: int, gram: int):
@@ -178,14 +208,15 @@ def _strip(window: int):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, spans (word ranges cut out) and the text that is left.
 
-    Documents enter the index in ``batches`` runs. An index that holds earlier corpora makes
-    their anchors count too; windows are compared between the documents given here.
+    Documents enter the index in ``batches`` runs. What repeats in the earlier corpora of an index that is given is
+    cut out here, too; results of earlier calls don't change.
     """
     spark = docs.sparkSession
     gram = min(GRAM, window)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
 
+    history = index.windows(window) if index else None
     index = index or FingerprintIndex(spark)
     for i in range(batches):
         part = rows.where(F.pmod("k2", F.lit(batches)) == i) if batches > 1 else rows
@@ -204,6 +235,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "windows",
     )
     twice = seen.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
+    if history:
+        past = cut(seen.select("w1", "w2").distinct().join(history.read(), ["w1", "w2"], "left_semi"), "past")  # before this batch enters
+        twice = twice.union(past)
+        history.add(rows.select("text").mapInArrow(_all_windows(window), "w1 long, w2 long"))
+        history.compact()
     found = seen.where("copies = 1").join(twice, ["w1", "w2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("s").alias("starts"))
     state = classes.select("k1", "k2", "copies").join(found, ["k1", "k2"], "left").where("copies > 1 or starts is not null")
     marked = rows.join(state, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from skein.llm import substrings as S
 
 
@@ -65,6 +67,19 @@ def test_index(spark):
     assert len(index.runs) == 1 and {r["h"]: r["n"] for r in index.read().collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
 
 
+def test_later_batches_meet_history(spark, make, tmp_path):
+    rows = corpus()
+    parts, path = (rows[:20], rows[20:35], rows[35:]), f"file://{tmp_path}/index"
+    seen = []
+    for part in parts:
+        seen += part
+        expected = [x for x in brute(seen, 20) if x[0] in dict(part)]
+        assert got(make(part), window=20, index=S.FingerprintIndex(spark, path)) == expected
+        assert expected != brute(part, 20) or part is parts[0]
+    with pytest.raises(ValueError):
+        S.dedup_substrings(make(rows), window=21, index=S.FingerprintIndex(spark, path))
+
+
 def test_query_digest(spark, sf):
     r = S.query(spark, sf).where("n_removed > 0").first()
     text = S.dedup_substrings(spark.read.parquet(f"{sf}/documents.parquet")).where(f"doc_id = {r['doc_id']}").first()["text"]
