@@ -259,6 +259,11 @@ def df_drill_down(spark, d):
     return out(customers(spark, d).where("key between 10 and 500"), F.get("x", F.lit(1)))
 
 
+@query("df_drill_down_all")
+def df_drill_down_all(spark, d):
+    return out(customers(spark, d), F.get("x", F.lit(1)))
+
+
 # indexing and reshaping
 @query("slice_rows", "SELECT (o_orderkey - 100) // 3 AS pos, o_totalprice AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1000 AND (o_orderkey - 100) % 3 = 0")
 def slice_rows(spark, d):
