@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.graph import components
 from skein.llm.store import cut
-from skein.llm.text import LOWER, blocks, mix, run_hashes, word_bounds
+from skein.llm.text import LOWER, blocks, mix, run_hashes, window_hashes, word_bounds
 
 BASE, OFFSET, TOP = 1.001, 8192, 65535
 #: Nodes up to this count (of 40 bytes) are sent to all executors; more are joined by shuffle.
@@ -41,19 +41,19 @@ BROADCAST_NODES = 200_000
 SLACK = 0.2
 #: Nodes that one task compares with as many others.
 BLOCK = 256
+SMALL = 16
 
 
 def n_bands(similarity: float, rows: int, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(similarity**rows)))
 
 
-def block_sets(data: np.ndarray, offs: np.ndarray, shingle: int) -> list[np.ndarray]:
+def block_sets(data: np.ndarray, offs: np.ndarray, shingle: int, seed: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offs)
-    words = run_hashes(data, starts, ends)
-    at = np.arange(max(0, len(words) - shingle + 1))
-    runs = run_hashes(words, at, at + shingle, 1)
+    words = run_hashes(data, starts, ends, seed)
+    runs = window_hashes(words, shingle, 1)
     out = []
     for s, e in zip(first[:-1], first[1:]):
         if e - s >= shingle:
@@ -65,6 +65,21 @@ def block_sets(data: np.ndarray, offs: np.ndarray, shingle: int) -> list[np.ndar
     return out
 
 
+def node_names(sets: list[np.ndarray], data: np.ndarray, offs: np.ndarray, shingle: int) -> list[bytes | None]:
+    """128 bits that stand for each set; None for an empty one.
+
+    Two sums over mixed shingle hashes; for small sets, where one shingle decides, the second sum is over hashes from
+    words hashed anew.
+    """
+    small = [i for i, s in enumerate(sets) if 0 < len(s) <= SMALL]
+    again = list(sets)
+    if small:
+        parts = [data[offs[i] : offs[i + 1]] for i in small]
+        for i, s in zip(small, block_sets(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), shingle, 3)):
+            again[i] = s
+    return [np.array([mix(s).sum(dtype=np.uint64), mix(t ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() if len(s) else None for s, t in zip(sets, again)]
+
+
 def registers(sets: list[np.ndarray], count: int) -> np.ndarray:
     """One row of registers for each set; of an empty set all are 0."""
     draw = np.random.default_rng(20240229)
@@ -108,13 +123,7 @@ def _sketch(shingle: int, count: int):
             for x, y, data, offs in blocks(batch.column("text")):
                 sets = block_sets(data, offs, shingle)
                 regs = registers(sets, count)
-                nodes = []
-                for i, s in enumerate(sets):
-                    if len(s):
-                        with np.errstate(over="ignore"):
-                            nodes.append(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes())
-                    else:
-                        nodes.append(None)
+                nodes = node_names(sets, data, offs, shingle)
                 part = batch.slice(x, y - x)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("k1"), part.column("k2"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],

@@ -24,26 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.store import cut, listed, remove, table_path
-from skein.llm.text import blocks, row_of, run_hashes, sliding, word_bounds
+from skein.llm.text import blocks, row_of, run_hashes, sliding, window_hashes, word_bounds
 
 GRAM = 12
 
 
-def _grams(values: np.ndarray, width: int, seed: int) -> np.ndarray:
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n - width + 1)
-    return run_hashes(values, at, at + width, seed)
-
-
 def block_anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and word position of each anchor in a block."""
     starts, ends, first = word_bounds(data, offs)
     row = row_of(first)
     last = first[1:][row]  # the word after each word's text
     at = np.arange(len(starts))
-    g = _grams(run_hashes(data, starts, ends), gram, 1)
+    g = window_hashes(run_hashes(data, starts, ends), gram, 1)
     if len(starts) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     width = window - gram + 1
@@ -119,6 +111,11 @@ class FingerprintIndex:
         return self.read().groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n > 1").select(*self.keys)
 
 
+def _both(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> list[np.ndarray]:
+    """Two hashes of every run of window words, from two hashes of every word: a match of both verifies the words."""
+    return [window_hashes(run_hashes(data, starts, ends, seed), window, seed) for seed in (2, 3)]
+
+
 def _all_windows(window: int):
     """Hashes of every window."""
 
@@ -128,9 +125,7 @@ def _all_windows(window: int):
                 starts, ends, first = word_bounds(data, offs)
                 s = np.arange(max(0, len(starts) - window + 1))
                 s = s[s + window <= first[1:][row_of(first)[s]]]
-                words = run_hashes(data, starts, ends)
-                w = [run_hashes(words, s, s + window, seed) if len(s) else np.zeros(0, np.uint64) for seed in (2, 3)]
-                yield pa.RecordBatch.from_pydict({"w1": pa.array(w[0].view(np.int64)), "w2": pa.array(w[1].view(np.int64))})
+                yield pa.RecordBatch.from_pydict({f"w{i + 1}": pa.array(w[s].view(np.int64)) for i, w in enumerate(_both(data, starts, ends, window))})
 
     return run
 
@@ -147,10 +142,9 @@ def _windows(window: int, gram: int):
                 starts, ends, first = word_bounds(data, offs)
                 if len(starts) < window:
                     continue
-                words = run_hashes(data, starts, ends)
                 low, high = at[a:b], at[a + 1 : b + 1]
                 p = flat[at[a] : at[b]] + first[:-1][np.repeat(np.arange(b - a), high - low)]
-                g = _grams(words, gram, 1)
+                g = window_hashes(run_hashes(data, starts, ends), gram, 1)
                 repeated = np.full(len(g), np.iinfo(np.uint64).max)
                 repeated[p] = g[p]
                 width = window - gram + 1
@@ -158,10 +152,11 @@ def _windows(window: int, gram: int):
                 own = row_of(first)
                 s = s[s + window <= first[1:][own[s]]]
                 own = own[s]
+                w1, w2 = _both(data, starts, ends, window) if len(s) else (np.zeros(0, np.uint64),) * 2
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "w1": pa.array(run_hashes(words, s, s + window, 2).view(np.int64)),
-                        "w2": pa.array(run_hashes(words, s, s + window, 3).view(np.int64)),
+                        "w1": pa.array(w1[s].view(np.int64)),
+                        "w2": pa.array(w2[s].view(np.int64)),
                         "k1": pa.array(keys[0][a + own]),
                         "k2": pa.array(keys[1][a + own]),
                         "s": pa.array((s - first[:-1][own]).astype(np.int32)),

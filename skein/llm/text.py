@@ -2,40 +2,28 @@
 
 No Python string is made per word: a record batch is cut into blocks of about
 ``BLOCK`` bytes (a longer text is a block of its own), word bounds come from a
-lookup table, and hashes of words and of word runs from prefix sums modulo 2**64.
+lookup table, hashes of words and of word windows from mixed tables and trees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+_LEFT, _RIGHT = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
+_NEAR, _PART = 64, 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown as needed."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 4 * BLOCK:
-            _powers[base] = have
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
@@ -47,14 +35,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _placed(values: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit value for each (value, place), without any relation between places."""
+    return mix(values.astype(np.uint64) ^ mix((place.astype(np.uint64) + np.uint64(1)) * _SEEDS[seed]))
+
+
+@lru_cache
+def _table(seed: int) -> np.ndarray:
+    """_placed of every byte at the first _NEAR places."""
+    return _placed(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256), seed)
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of values[start:end] for each pair of bounds."""
-    base = _ODD[seed]
-    n = len(values) + 1
-    sums = np.zeros(n, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, n - 1), out=sums[1:])
-    inverse = powers(pow(base, -1, 1 << 64), n)
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """A hash of values[start:end] for ascending runs that don't overlap, by tabulation: each place has a table of its own.
+
+    Sums of products with powers would collide for repetitive words, whatever the base.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):  # in parts that stay in the cache
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _PART, "right")))
+        low, high = starts[a], ends[b - 1]
+        heads = (starts[a:b] - low).astype(np.int32)
+        place = np.arange(high - low, dtype=np.int32)
+        place -= np.repeat(heads, np.diff(heads, append=np.int32(high - low)))  # what follows a run counts on, and is left out below
+        part = values[low:high]
+        if part.dtype == np.uint8:
+            index = np.minimum(place, _NEAR - 1)
+            index <<= 8
+            index |= part
+            each = _table(seed).take(index)
+            far = np.flatnonzero(place >= _NEAR)
+            if len(far):
+                each[far] = _placed(part[far], place[far], seed)
+        else:
+            each = _placed(part, place, seed)
+        each = np.append(each, np.uint64(0))
+        bounds = np.stack([heads, ends[a:b] - low], 1).ravel()
+        out[a:b] = np.where(bounds[::2] < bounds[1::2], np.add.reduceat(each, bounds)[::2], np.uint64(0))
+        a = b
+    return mix(out + (ends - starts).astype(np.uint64) * _LEFT)
+
+
+def window_hashes(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """A hash of values[i:i+width] for every full window, as a tree of mixed pairs built by doubling."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    have, size, done = mix(values.astype(np.uint64) ^ _SEEDS[seed]), 1, 0
+    out = np.full(n, width, np.uint64)
+    while True:
+        if width & size:
+            out = mix(out * _LEFT + have[done : done + n] * _RIGHT)
+            done += size
+        if 2 * size > width:
+            return out
+        have = mix(have[:-size] * _LEFT + have[size:] * _RIGHT)
+        size *= 2
 
 
 def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.llm.text import BLOCK, blocks, run_hashes, sliding, word_bounds
+from skein.llm.text import BLOCK, blocks, run_hashes, sliding, window_hashes, word_bounds
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n\t\x0b漢", max_size=30)), max_size=8)
 
@@ -36,3 +36,30 @@ def test_a_long_text_is_a_block_of_its_own():
 def test_sliding(values, width):
     got = sliding(np.array(values, np.uint64), width)
     assert got.tolist() == [min(values[i : i + width]) for i in range(len(values) - width + 1)]
+
+
+def twins(doublings):
+    """A word and its letter-swapped twin, equal under every sum of products with powers modulo 2**64."""
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(5, 13), st.integers(0, 3))
+def test_repetitive_words_do_not_collide(doublings, seed):
+    data = np.frombuffer(" ".join(twins(doublings)).encode(), np.uint8)
+    starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+    x, y = run_hashes(data, starts, ends, seed)
+    assert x != y
+    a, b = (window_hashes(np.frombuffer(t.encode(), np.uint8), 2**doublings, seed) for t in twins(doublings))
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 12))
+def test_window_hashes(values, width):
+    got = window_hashes(np.array(values, np.uint64), width)
+    runs = [tuple(values[i : i + width]) for i in range(len(values) - width + 1)]
+    assert len(got) == len(runs)
+    assert len(set(got.tolist())) == len(set(runs)) == len(set(zip(runs, got.tolist())))
