@@ -106,7 +106,7 @@ def _scores(forest: Forest):
 
 def fit_quality(labels: DataFrame, docs: DataFrame, label_col: str = "quality", folds: int = 4, fold: int = 2, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Forest:
     """Trees for P(label = 1), moved back to the odds that label has among all labelled."""
-    rows = sample(labels, docs, label_col, folds, fold, per_class, id_col, text_col).select("label", "text").mapInArrow(_features, "label int, x array<double>").toPandas()
+    rows = sample(labels, docs, label_col, folds, fold, per_class, None, id_col, text_col).select("label", "text").mapInArrow(_features, "label int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist()) if len(rows) else np.zeros((0, len(FEATURES)))
     order = np.lexsort([*x.T, rows["label"].to_numpy()]) if len(rows) else []  # the same trees whatever the order of rows
     y = rows["label"].to_numpy(np.float64)[order]

@@ -11,8 +11,8 @@ word they come from.
 As the softmax is linear, a row of the table adds one number to a window's logit: scoring
 looks up numbers by n-gram and never makes vectors.
 
-The model is fitted on documents bounded by ``per_class`` and, for clean ones, ``clean_windows``
-windows of each; every document is then scored, whole, in one scan. Nulls and empty texts have one
+The model is fitted on whole documents bounded by ``per_class`` and ``most_bytes``, in one task; the driver only
+gets one number for each bucket. Every document is then scored, whole, in one scan. Nulls and empty texts have one
 empty window (logit: the bias). A null id counts as held out. Without labels of both kinds every
 score is the same prior. Repeated rows are scored each. Empty tables give empty results.
 """
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.labelled import held_out, odds, sample
-from skein.llm.text import LOWER, blocks, row_of, run_hashes, word_bounds
+from skein.llm.text import LOWER, blocks, run_hashes, word_bounds
 
-PER_CLASS = (2_000, 1_200)
+PER_CLASS, MOST_BYTES = (2_000, 1_200), (8 << 20, 6 << 20)
 THRESHOLD = 0.7
 BUCKETS, DIM = 1 << 18, 8
-RATE, DAMPING, STEP, SHRINK = 30.0, 20.0, 4096, 0.9
+RATE, DAMPING, STEP, SHRINK = 30.0, 20.0, 4096, 0.95
 GRAMS = (3, 4)
 WINDOW, STRIDE = 4, 2
 CALIBRATION = 5
@@ -50,6 +50,7 @@ class Model:
     bias: float
     scale: float = 1.0
     shift: float = 0.0
+    length: float = 0.0  # what the logarithm of the number of windows takes off
 
 
 def word_grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,14 +100,14 @@ def window_bounds(first: np.ndarray, stride: int | None = None) -> tuple[np.ndar
 
 
 def text_logits(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The greatest logit of any window of each text."""
+    """The calibrated logit of each text, from the greatest of its windows."""
     bucket, word, first = word_grams(data, offs)
     n = int(first[-1])
     each = np.bincount(word, model.value[bucket], n) / np.maximum(np.bincount(word, minlength=n), 1)
     sums = np.concatenate([[0], np.cumsum(each)])
     a, b, at = window_bounds(first)
     logit = (sums[b] - sums[a]) / np.maximum(b - a, 1) + model.bias
-    return np.maximum.reduceat(logit, at[:-1])
+    return model.scale * np.maximum.reduceat(logit, at[:-1]) + model.shift - model.length * np.log(np.diff(at))
 
 
 def _for_calibration(doc_id) -> bool:
@@ -114,37 +115,29 @@ def _for_calibration(doc_id) -> bool:
     return crc32(f"calibrate {doc_id}".encode()) % CALIBRATION == 0
 
 
-def _samples(clean_windows: int):
-    """Windows of the sampled documents, side by side: buckets word by word, and how many each word has."""
+class Windows:
+    """Training windows side by side: buckets and their weights, and the document, by number, of each window."""
 
-    def run(batches):
-        for batch in batches:
-            labels = batch.column("label").to_numpy()
-            ids = batch.column("doc_id")
-            for x, y, data, offs in blocks(batch.column("text")):
-                bucket, word, first = word_grams(data, offs)
-                order = np.argsort(word, kind="stable")
-                bucket, word = bucket[order], word[order]
-                gram_at = np.searchsorted(word, np.arange(first[-1] + 1))
-                a, b, at = window_bounds(first, WINDOW)
-                out = {"label": [], "window": [], "buckets": [], "counts": [], "row": []}
-                for i in range(y - x):
-                    picked = range(at[i], at[i + 1])
-                    if labels[x + i] == 0 and len(picked) > clean_windows and not _for_calibration(ids[x + i].as_py()):
-                        picked = np.linspace(at[i], at[i + 1] - 1, clean_windows).astype(int)
-                    for k in picked:
-                        out["label"].append(int(labels[x + i]))
-                        out["window"].append(int(k - at[i]))
-                        out["row"].append(i)
-                        out["buckets"].append(bucket[gram_at[a[k]] : gram_at[b[k]]].astype(np.int32))
-                        out["counts"].append(np.diff(gram_at[a[k] : b[k] + 1]).astype(np.int32))
-                if out["row"]:
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(np.array(out["row"]) + x)), pa.array(out["label"], pa.int32()), pa.array(out["window"], pa.int32()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["counts"], pa.list_(pa.int32()))],
-                        ["doc_id", "label", "window", "buckets", "counts"],
-                    )
+    def __init__(self) -> None:
+        self.ids, self.labels, self.parts = [], [], []
 
-    return run
+    def add(self, ids: list, labels: np.ndarray, data: np.ndarray, offs: np.ndarray) -> None:
+        bucket, word, first = word_grams(data, offs)
+        order = np.argsort(word, kind="stable")
+        bucket, word = bucket[order].astype(np.int32), word[order]
+        gram_at = np.searchsorted(word, np.arange(first[-1] + 1))
+        a, b, at = window_bounds(first, WINDOW)
+        words = np.repeat(np.maximum(b - a, 1), b - a)  # windows follow each other and share no word
+        weight = 1 / (np.maximum(np.diff(gram_at), 1) * words)
+        doc = np.repeat(np.arange(len(ids)), np.diff(at)) + len(self.ids)
+        self.parts.append((bucket, np.repeat(weight, np.diff(gram_at)).astype(np.float32), gram_at[b] - gram_at[a], doc))
+        self.ids += ids
+        self.labels += labels.tolist()
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        bucket, weight, sizes, doc = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts.clear()
+        return bucket, weight, np.concatenate([[0], np.cumsum(sizes)]), doc
 
 
 class _Trainer:
@@ -196,40 +189,40 @@ class _Trainer:
         self.table *= SHRINK  # what common words say by chance fades, what toxic words say is learnt again
 
 
-def _calibrated(best: np.ndarray, y: np.ndarray, odds_of_one: float) -> tuple[float, float]:
-    """Platt's scale and shift by Newton steps, with the classes weighed to the odds of all labels."""
+def _calibrated(best: np.ndarray, windows: np.ndarray, y: np.ndarray, odds_of_one: float) -> tuple[float, float, float]:
+    """Platt's scale and shift, and what the logarithm of a text's windows takes off (the greatest of many is large by
+    chance), by Newton steps, with the classes weighed to the odds of all labels."""
     mass = np.where(y == 1, odds_of_one / max(y.sum(), 1), 1 / max((1 - y).sum(), 1))
     mass *= len(y) / mass.sum()
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     mean, sd = best.mean(), best.std() + 1e-9
-    z = np.stack([(best - mean) / sd, np.ones(len(best))], 1)
-    theta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
-        step = np.linalg.solve((z * (mass * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (mass * (p - target)))
-        theta -= np.clip(step, -2, 2)
-    return float(theta[0] / sd), float(theta[1] - theta[0] * mean / sd)
-
-
-def train(rows, odds_of_one: float, rounds: int = 4, epochs: int = 6) -> Model:
-    """rows: a pandas frame of windows (doc_id, label, window, buckets, counts)."""
-    if not len(rows) or rows["label"].nunique() < 2:
-        share = odds_of_one / (1 + odds_of_one)
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
-    rows = rows.sort_values(["doc_id", "window"], kind="stable").reset_index(drop=True)
-    at = np.concatenate([[0], np.cumsum(rows["buckets"].map(len).to_numpy())])
-    n_words = rows["counts"].map(len).to_numpy()
-    counts = np.concatenate(rows.pop("counts").to_numpy()).astype(np.int64)
-    each = 1 / (np.maximum(counts, 1) * np.repeat(n_words, n_words))
-    weight = np.repeat(each.astype(np.float32), counts)
-    trainer = _Trainer(np.concatenate(rows.pop("buckets").to_numpy()).astype(np.int32, copy=False), weight, at)
-    label = rows["label"].to_numpy(np.float64)
-    change = (rows["doc_id"].to_numpy()[1:] != rows["doc_id"].to_numpy()[:-1]) | (rows["window"].to_numpy()[1:] == 0)
-    doc_at = np.concatenate([[0], np.flatnonzero(change) + 1])
-    doc = np.concatenate([[0], np.cumsum(change)])
-    ids = rows["doc_id"].to_numpy()[doc_at]
-    aside = np.array([_for_calibration(i) for i in ids])
-    if len(set(label[doc_at][aside])) < 2 or len(set(label[doc_at][~aside])) < 2:
+    length = -np.log(windows)
+    for columns in ([(best - mean) / sd, np.ones(len(best)), length], [(best - mean) / sd, np.ones(len(best))]):
+        z, theta = np.stack(columns, 1), np.zeros(len(columns))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
+            step = np.linalg.solve((z * (mass * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(len(theta)), z.T @ (mass * (p - target)))
+            theta -= np.clip(step, -2, 2)
+        if len(theta) == 2 or theta[2] >= 0:  # a longer text is never the likelier for it
+            break
+    return float(theta[0] / sd), float(theta[1] - theta[0] * mean / sd), float(theta[2]) if len(theta) > 2 else 0.0
+
+
+def prior(odds_of_one: float) -> Model:
+    share = odds_of_one / (1 + odds_of_one)
+    return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
+
+
+def train(windows: Windows, odds_of_one: float, rounds: int = 2, epochs: int = 6) -> Model:
+    if len(set(windows.labels)) < 2:
+        return prior(odds_of_one)
+    bucket, weight, at, doc = windows.joined()
+    trainer = _Trainer(bucket, weight, at)
+    doc_label = np.array(windows.labels, np.float64)
+    label = doc_label[doc]
+    doc_at = np.searchsorted(doc, np.arange(len(doc_label)))
+    aside = np.array([_for_calibration(i) for i in windows.ids])
+    if len(set(doc_label[aside])) < 2 or len(set(doc_label[~aside])) < 2:
         aside[:] = False  # too few documents to set some aside
     trained = ~aside[doc]
     toxic, clean = np.flatnonzero((label == 1) & trained), np.flatnonzero((label == 0) & trained)
@@ -248,17 +241,37 @@ def train(rows, odds_of_one: float, rounds: int = 4, epochs: int = 6) -> Model:
         mass[kept], mass[clean] = 0.3 * len(chosen) / len(kept), 0.7 * len(chosen) / len(clean)
     best = np.maximum.reduceat(trainer.logits(), doc_at)
     judged = aside if aside.any() else np.ones(len(best), bool)
-    y, best = label[doc_at][judged], best[judged]
+    y, best = doc_label[judged], best[judged]
+    n = np.diff(np.append(doc_at, len(doc)))[judged] * (WINDOW // STRIDE)  # scoring looks at overlapping windows
     misspelt = trainer.bias + SPELLING * (best[y == 1] - trainer.bias)
-    scale, shift = _calibrated(np.concatenate([best, misspelt]), np.concatenate([y, np.ones(len(misspelt))]), odds_of_one)
-    return Model(trainer.table @ (2 * trainer.w), trainer.bias, scale, shift)
+    fitted = _calibrated(np.concatenate([best, misspelt]), np.concatenate([n, n[y == 1]]), np.concatenate([y, np.ones(len(misspelt))]), odds_of_one)
+    return Model((trainer.table @ (2 * trainer.w)).astype(np.float32), float(trainer.bias), *fitted)
+
+
+def _fitted(odds_of_one: float):
+    """One task reads the bounded sample and trains: the driver only gets the model."""
+
+    def run(batches):
+        texts = []
+        for batch in batches:
+            texts += zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), batch.column("text").to_pylist())
+        texts.sort(key=lambda x: str(x[0]))  # the same model whatever the order of rows
+        windows = Windows()
+        for a in range(0, len(texts), 256):
+            ids, labels, text = zip(*texts[a : a + 256])
+            for x, y, data, offs in blocks(pa.array(text, pa.large_string())):
+                windows.add(list(ids[x:y]), np.array(labels[x:y]), data, offs)
+        model = train(windows, odds_of_one)
+        yield pa.RecordBatch.from_pydict({"value": pa.array([model.value.tobytes()], pa.binary()), "bias": [model.bias], "scale": [model.scale], "shift": [model.shift], "length": [model.length]})
+
+    return run
 
 
-def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: tuple[int, int] = PER_CLASS, clean_windows: int = 40, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    picked = sample(labels, docs, label_col, folds, fold, per_class, id_col, text_col)
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    rows = picked.select("doc_id", "label", "text").mapInArrow(_samples(clean_windows), f"doc_id {kind}, label int, window int, buckets array<int>, counts array<int>")
-    return train(rows.toPandas(), odds(labels, label_col, folds, fold, id_col))
+def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: tuple[int, int] = PER_CLASS, most_bytes: tuple[int, int] = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    picked = sample(labels, docs, label_col, folds, fold, per_class, most_bytes, id_col, text_col).select("doc_id", "label", "text")
+    share = odds(labels, label_col, folds, fold, id_col)
+    found = picked.repartition(1).mapInArrow(_fitted(share), "value binary, bias double, scale double, shift double, length double").first()
+    return Model(np.frombuffer(found["value"], np.float32), found["bias"], found["scale"], found["shift"], found["length"]) if found else prior(share)
 
 
 def _scores(model: Model):
@@ -266,7 +279,7 @@ def _scores(model: Model):
         for batch in batches:
             for a, b, data, offs in blocks(batch.column("text")):
                 part = batch.slice(a, b - a).drop_columns(["text"])
-                z = model.scale * text_logits(model, data, offs) + model.shift
+                z = text_logits(model, data, offs)
                 yield part.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
 
     return run
