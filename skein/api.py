@@ -161,17 +161,15 @@ def argpartition(x, kth, dim=-1):
 
 
 def search_sorted(x: RaggedArray, v: RaggedArray, right: bool = False) -> RaggedArray:
-    """Where v would go in the sorted x; x travels as one literal list."""
-    edges = [r[0] for r in x._leaves_frame().orderBy("v").collect()]
-    literal = F.array(*[F.lit(e).cast(x.dtype.spark) for e in edges]) if edges else F.array().cast(f"array<{x.dtype.spark.simpleString()}>")
-    return v._map(lambda y: N.search_sorted(literal, y, right), int64)
+    """Where v would go in the sorted x, whatever the sizes of both."""
+    return v.search_sorted_in(x._leaves_frame(), right)
 
 
 def nonzero(x: RaggedArray) -> RaggedArray:
     if x.depth or x.union:
         raise LayoutUnsupported("nonzero takes one axis")
     found = x._plain().where(F.col("v").cast("double") != 0).select(F.col(POS).alias("v"))
-    return x._from(_rows.ranked(found, [F.col("v")], POS), int64, 0)
+    return x._from(_rows.running(found, 1, POS, "v"), int64, 0)
 
 
 def where(cond: RaggedArray, x: RaggedArray | None = None, y: RaggedArray | None = None) -> RaggedArray:

@@ -11,7 +11,7 @@ NAN, INF = float("nan"), float("inf")
 
 
 def negative_zero(x: Column) -> Column:
-    return (x == 0) & (F.atan2(F.lit(0.0), x.cast("double")) > 1)
+    return F.when(x == 0, x.cast("double").cast("string").startswith("-")).otherwise(False)
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -26,10 +26,12 @@ def floored_mod(a: Column, b: Column, integral: bool) -> Column:
     """The sign follows b. Integers: zero raises; floats: nan."""
     if integral:
         b = F.when(b == 0, F.raise_error(F.lit("Modulo by zero")).cast("long")).otherwise(b)
-        return ((a % b) + b) % b
+        rest = a % b
+        return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
     a, b = a.cast("double"), b.cast("double")
-    safe = F.when(b == 0, 1.0).otherwise(b)
-    return F.when(a.isNull() | b.isNull(), None).when((b == 0) | F.isnan(a) | F.isnan(b), NAN).otherwise(((a % safe) + safe) % safe)
+    rest = a % F.when(b == 0, 1.0).otherwise(b)
+    signed = F.when(rest == 0, F.when(b < 0, -0.0).otherwise(0.0)).when((rest < 0) != (b < 0), rest + b).otherwise(rest)
+    return F.when(a.isNull() | b.isNull(), None).when((b == 0) | F.isnan(a) | F.isnan(b), NAN).otherwise(signed)
 
 
 def wrap(x: Column, dtype: DType) -> Column:

@@ -136,7 +136,7 @@ def search_sorted(edges: Column, v: Column, right: bool = False) -> Column:
 
 
 def digitize(x: Column, bins: Column, right: bool = False, numpy_edges: bool = False) -> Column:
-    """The bin of x. right=False puts a value on an edge below it, as the reference does;
+    """The bin of x. right=False puts a value on an edge below it, as array libraries for ragged data do;
     numpy_edges=True swaps the two sides. nan is past the last bin."""
     after = right != numpy_edges
     return F.when(x.isNull(), None).when(F.isnan(x), F.size(bins)).otherwise(F.size(F.filter(bins, lambda b: (b <= x) if after else (b < x)))).cast("long")
@@ -174,6 +174,39 @@ def take(a: Column, index: Column) -> Column:
     return F.transform(index, one)
 
 
+def position(i: Column, n: Column) -> Column:
+    """A place from 0 of an index that may count from the end; null if it is outside."""
+    at = F.when(i < 0, i + n).otherwise(i)
+    return F.when((at >= 0) & (at < n), at.cast("long"))
+
+
+def upto(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n.cast("long") - 1, F.lit(0).cast("long"))), lambda i: i < n)
+
+
+def slice_positions(n: Column, start: Column, stop: Column, step: Column) -> Column:
+    """The places of start:stop:step in a list of n; nulls are ends left open."""
+    t = F.coalesce(step, F.lit(1))
+    back = t < 0
+    least, most = F.when(back, -1).otherwise(0), F.when(back, n - 1).otherwise(n)
+    bound = lambda x, open_: F.when(x.isNull(), open_).when(x < 0, F.greatest(x + n, least)).otherwise(F.least(x, most)).cast("long")
+    a, b = bound(start, F.when(back, n - 1).otherwise(0)), bound(stop, F.when(back, -1).otherwise(n))
+    count = F.greatest(F.ceil((b - a) / t), F.lit(0)).cast("long")
+    return F.when(t == 0, F.raise_error(F.lit("IndexInvalid: a slice needs a step")).cast("array<bigint>")).otherwise(F.transform(upto(count), lambda i: a + i * t))
+
+
+def written(a: Column, writes: Column) -> Column:
+    """a with the writes {i, x}, places from 0; a null place raises, the last write to a place wins."""
+
+    def one(x: Column, k: Column) -> Column:
+        mine = F.filter(writes, lambda w: w["i"] == k)
+        return F.when(F.size(mine) > 0, F.element_at(mine, -1)["x"]).otherwise(x)
+
+    outside = F.exists(writes, lambda w: w["i"].isNull())
+    return F.when(outside, F.raise_error(F.lit("IndexOutOfBounds: a written element is outside its list"))).when(writes.isNull() | (F.size(writes) == 0), a).otherwise(F.transform(a, one))
+
+
 def element(a: Column, i: int) -> Column:
     """One element; outside raises."""
     return F.get(take(a, F.array(F.lit(i))), F.lit(0))

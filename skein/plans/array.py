@@ -377,7 +377,8 @@ class RaggedArray:
     def sort(self, dim: int = -1) -> RaggedArray:
         if self.depth == 0:
             ordered = self._plain().withColumn("v", F.when(F.col("v").isNull(), F.raise_error(F.lit("sort: nulls can't be ordered"))).otherwise(F.col("v")))
-            return self._from(rows.ranked(ordered.drop(POS), [F.col("v")], POS))
+            ordered = ordered.withColumnRenamed(POS, "_old")  # equal values are dealt by their old position
+            return self._from(rows.ranked(ordered, [F.col("v"), F.col("_old")], POS))
         return self._innermost(N.sort, dim)
 
     def argsort(self, dim: int = -1) -> RaggedArray:
@@ -390,7 +391,7 @@ class RaggedArray:
         if dim is None or self.depth == 0:
             if self.depth > 0 and not self.union:
                 raise AxisInvalid("a nested array needs dim=-1")
-            df = self._plain() if not self.union else rows.ranked(self.frame.select(POS, F.posexplode(self.col["items"]).alias("_i", "v")).withColumnRenamed(POS, "_o"), [F.col("_o"), F.col("_i")], POS)
+            df = self._plain() if not self.union else rows.unstacked(self.frame.select(POS, self.col["items"].alias("v")), "v")
             df = df.where(F.col("v").isNotNull())
             nan = F.isnan(F.col("v").cast("double")) if self.dtype.kind == "f" else F.lit(False)
             if skip_nan:
@@ -429,8 +430,7 @@ class RaggedArray:
     def flatten(self, dim: int | None = None, but: int | None = None) -> RaggedArray:
         """Remove list axes; default all of them."""
         if self.union:
-            flat = self.frame.select(F.col(POS).alias("_o"), F.posexplode(self.col["items"]).alias("_i", "v"))
-            return self._from(rows.ranked(flat, [F.col("_o"), F.col("_i")], POS), depth=0)
+            return self._from(rows.unstacked(self.frame.select(POS, self.col["items"].alias("v")), "v"), depth=0)
         if self.depth == 0:
             return self
         drop = [self._axis(dim)] if dim is not None else [k for k in range(self.depth) if but is None or k != self._axis(but)]
@@ -441,24 +441,31 @@ class RaggedArray:
             if axis:
                 out = out._with(_at_level(out.col, axis - 1, F.flatten), depth=out.depth - 1)
             else:
-                flat = out.frame.select(F.col(POS).alias("_o"), F.posexplode(out.col).alias("_i", "v"))
-                out = out._from(rows.ranked(flat, [F.col("_o"), F.col("_i")], POS), depth=out.depth - 1)
+                out = out._from(rows.unstacked(out._plain(), "v"), depth=out.depth - 1)
         return out
 
     def unflatten(self, sizes: Sequence, dim: int = 0) -> RaggedArray:
-        if dim == 0:
-            if sum(sizes) != len(self):
-                raise ShapeMismatch("sizes must add up to the rows", f"{sum(sizes)} and {len(self)}")
-            starts = [(k, s, s + n) for k, (s, n) in enumerate(zip(itertools.accumulate([0, *sizes]), sizes))]
-            runs = self.frame.sparkSession.createDataFrame(starts, "_k long, _s long, _e long")
-            df = self._plain().join(F.broadcast(runs), (F.col(POS) >= F.col("_s")) & (F.col(POS) < F.col("_e")), "right")
-            pairs = F.array_sort(F.collect_list(F.when(F.col(POS).isNotNull(), F.struct(F.col(POS).alias("p"), F.col("v").alias("v")))))
-            return self._from(df.groupBy(F.col("_k").alias(POS)).agg(pairs.getField("v").alias("v")), depth=self.depth + 1)
+        """Consecutive runs of an axis as lists; sizes is a list, or an array, and nests for dim > 0."""
         given = sizes if isinstance(sizes, RaggedArray) else RaggedArray.of(sizes, D.int64)
+        if dim == 0:
+            total = given._plain().agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+            if total != len(self):
+                raise ShapeMismatch("sizes must add up to the rows", f"{total} and {len(self)}")
+            runs = rows.running(given._plain(), F.col("v"), "_s").withColumnRenamed(POS, "_r")
+            places = runs.select("_r", F.explode(N.upto(F.col("v"))).alias("_i"), "_s")
+            places = places.select("_r", (F.col("_s") + F.col("_i")).alias(POS))
+            filled = self._plain().join(places, POS).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct(F.col(POS).alias("p"), F.col("v").alias("v")))).alias("x"))
+            empty = F.array().cast(T.ArrayType(spark_type(self.dtype, self.depth, self.union)))
+            df = runs.select("_r").join(filled, "_r", "left").select(F.col("_r").alias(POS), F.coalesce(F.col("x").getField("v"), empty).alias("v"))
+            return self._from(df, depth=self.depth + 1)
+        if not 0 < dim <= self.depth or given.depth != dim:
+            raise AxisInvalid("unflatten splits an axis by sizes nested as deep", f"dim={dim}, sizes of {given.depth + 1} axes, array of {self.depth + 1}")
         both = self._plain().join(given._plain().withColumnRenamed("v", "_s"), POS)
-        if dim != 1:
-            raise AxisInvalid("unflatten splits axis 0 or 1", f"dim={dim}")
-        return self._from(both.withColumn("v", N.unflatten(F.col("v"), F.col("_s"))), depth=self.depth + 1)
+
+        def split(x: Column, n: Column, level: int) -> Column:
+            return N.unflatten(x, n) if level == 1 else F.zip_with(x, n, lambda y, m: split(y, m, level - 1))
+
+        return self._from(both.withColumn("v", split(F.col("v"), F.col("_s"), dim)), depth=self.depth + 1)
 
     # selection
 
@@ -471,16 +478,14 @@ class RaggedArray:
 
     def __getitem__(self, key):
         if isinstance(key, RaggedArray):
-            if key.dtype.kind == "b":
+            if key.dtype.kind == "b" and key.depth == 0:
                 return self._from(rows.mask_rows(self._plain(), key._plain(), "v"), union=self.union)
             key = key.to_list()
         if isinstance(key, int) and not isinstance(key, bool):
             return self._row(key)
         if isinstance(key, slice):
             start, stop, step = key.indices(len(self))
-            if step > 0:
-                return self._from(rows.slice_rows(self._plain(), start, max(start, stop), step), union=self.union)
-            return self._gather(list(range(start, stop, step)))
+            return self._from(rows.slice_rows(self._plain(), start, stop, step), union=self.union)
         if isinstance(key, tuple):
             return self._coordinates(*key)
         if _is_list(key):
@@ -508,47 +513,80 @@ class RaggedArray:
         flat = one.select(F.posexplode(self.col).alias("_i", "v"))
         return self._from(flat.withColumn(POS, F.col("_i").cast("long")), depth=self.depth - 1)
 
+    def _picks(self, key: list, values: list | None = None) -> DataFrame:
+        """A row for each position of key: the indices it stands for (an int, a list or a slice), and a value for each."""
+        if not all(isinstance(k, (int, slice, list, tuple)) for k in key):
+            raise IndexInvalid("a row takes an int, a list of ints or a slice", repr(key))
+        kind = self.dtype.spark.simpleString()
+        data = []
+        for r, k in enumerate(key):
+            at = None if isinstance(k, slice) else [k] if isinstance(k, int) else list(k)
+            v = None if values is None else values[r] if _is_list(values[r]) else None
+            if v is not None and at is not None and len(v) != len(at):
+                raise ShapeMismatch("one value for each selected element", f"{len(v)} for {len(at)}")
+            ends = (k.start, k.stop, k.step) if isinstance(k, slice) else (None, None, None)
+            one = None if values is None or _is_list(values[r]) else _convert(values[r], self.dtype)
+            data.append((r, at, *ends, None if v is None else [_convert(x, self.dtype) for x in v], one))
+        return self.frame.sparkSession.createDataFrame(data, f"{POS} long, _x array<long>, _s long, _e long, _t long, _w array<{kind}>, _o {kind}")
+
     def _per_row(self, key: list) -> RaggedArray:
-        n_of = {r[POS]: r["n"] for r in self.frame.select(POS, F.size(self.col).alias("n")).collect()} if any(isinstance(k, slice) for k in key) else {}
-        index = [(r, list(range(n_of[r]))[k] if isinstance(k, slice) else [k] if isinstance(k, int) else list(k)) for r, k in enumerate(key)]
-        wanted = self.frame.sparkSession.createDataFrame(index, f"{POS} long, _x array<long>")
-        both = self._plain().join(F.broadcast(wanted), POS)
-        return self._from(both.withColumn("v", N.take(F.col("v"), F.col("_x"))))
-
-    def _coordinates(self, first, *rest):
-        if all(isinstance(x, int) for x in (first, *rest)):
-            x = self._row(first)
-            for i in rest:
-                if not isinstance(x, RaggedArray):
-                    if i not in (0, -1):
-                        raise IndexOutOfBounds("a scalar has one element", str(i))
-                    continue
-                x = x._row(i)
+        both = self._plain().join(self._picks(key), POS)
+        at = F.coalesce("_x", N.slice_positions(F.size("v"), F.col("_s"), F.col("_e"), F.col("_t")))
+        return self._from(both.withColumn("v", N.take(F.col("v"), at)))
+
+    def _coordinates(self, *parts):
+        """Ints and slices apply one after the other to what is left; lists of ints pair up as coordinates."""
+        if not parts:
+            raise IndexInvalid("an index tuple needs a part")
+        if not any(map(_is_list, parts)):
+            x = self
+            for i in parts:
+                if isinstance(x, RaggedArray):
+                    x = x[i]
+                elif i not in (0, -1):
+                    raise IndexOutOfBounds("a scalar has one element", str(i))
             return x
-        if len(rest) != 1:
-            raise IndexInvalid("coordinates pair rows with one column", f"{1 + len(rest)} axes")
-        r, c = (list(x) if _is_list(x) else x for x in (first, rest[0]))
-        n = max(len(x) for x in (r, c) if isinstance(x, list))
-        r, c = (x if isinstance(x, list) else [x] * n for x in (r, c))
-        if len(r) != len(c):
-            raise IndexInvalid("coordinates of different lengths", f"{len(r)} and {len(c)}")
-        wanted = [(k, self._checked(i), j) for k, (i, j) in enumerate(zip(r, c))]
-        pairs = self.frame.sparkSession.createDataFrame(wanted, f"_k long, {POS} long, _c long")
-        both = self._plain().join(F.broadcast(pairs), POS)
-        source = F.col("v")["items"] if self.union else F.col("v")
-        picked = F.get(N.take(source, F.array("_c")), F.lit(0))
-        return self._from(both.select(F.col("_k").alias(POS), picked.alias("v")), depth=0 if self.union else self.depth - 1)
+        if any(isinstance(p, slice) for p in parts):
+            raise IndexInvalid("slices don't combine with lists of coordinates", repr(parts))
+        if len(parts) > (2 if self.union else self.depth + 1):
+            raise IndexInvalid("more coordinates than axes", f"{len(parts)} for {self.depth + 1}")
+        pairs = self.frame.sparkSession.createDataFrame(self._paired(parts), f"_k long, {POS} long, _c array<long>")
+        both = self._plain().join(pairs, POS)
+        picked = F.col("v")["items"] if self.union else F.col("v")
+        for i in range(len(parts) - 1):
+            picked = F.get(N.take(picked, F.array(F.col("_c")[i])), F.lit(0))
+        return self._from(both.select(F.col("_k").alias(POS), picked.alias("v")), depth=0 if self.union else self.depth + 1 - len(parts))
+
+    def _paired(self, parts: Sequence) -> list[tuple]:
+        """(place, row, inner coordinates) of lists of coordinates; ints are repeated."""
+        n = max(len(p) if _is_list(p) else 1 for p in parts)
+        columns = [list(p) if _is_list(p) else [p] * n for p in parts]
+        if len({len(c) for c in columns}) > 1:
+            raise IndexInvalid("coordinates of different lengths", ", ".join(str(len(c)) for c in columns))
+        return [(k, self._checked(i), list(rest)) for k, (i, *rest) in enumerate(zip(*columns))]
 
     def __setitem__(self, key, value) -> None:
         """Rebinds this object to a plan with the new values."""
         if isinstance(key, tuple):
             self._set_coordinates(key, value)
             return
+        if isinstance(key, RaggedArray):
+            if key.dtype.kind == "b":
+                self._set_where(key, value)
+                return
+            key = key.to_list()
         if isinstance(key, slice):
             key = list(range(*key.indices(len(self))))
-        if _is_list(key) and key and all(isinstance(x, bool) for x in key):
+        elif _is_list(key) and key and all(isinstance(x, bool) for x in key):
+            if len(key) != len(self):
+                raise ShapeMismatch("mask length", f"{len(key)} for {len(self)} rows")
             key = [i for i, x in enumerate(key) if x]
+        elif _is_list(key) and key and self.depth == 1 and not self.union and len(key) == len(self):
+            self._set_per_row(list(key), value)
+            return
         at = [self._checked(i) for i in (key if _is_list(key) else [key])]
+        if _is_list(value) and _is_list(key) and len(value) != len(at) and (self.depth == 0 or any(map(_is_list, value))):
+            raise ShapeMismatch("one value for each selected row", f"{len(value)} for {len(at)}")
         values = list(value) if _is_list(value) and _is_list(key) and len(value) == len(at) else [value] * len(at)
         items = self.to_union() if self.depth == 1 and any(not _is_list(v) for v in values) or self.depth == 0 and any(map(_is_list, values)) else self
         kind = spark_type(items.dtype, items.depth, items.union)
@@ -556,31 +594,86 @@ class RaggedArray:
         shape = T.StructType([T.StructField(POS, T.LongType()), T.StructField("_w", kind), T.StructField("_hit", T.BooleanType())])
         last = dict(zip(at, values))  # the last write wins
         new = items.frame.sparkSession.createDataFrame([(i, encode(v), True) for i, v in last.items()], shape)
-        both = items._plain().join(F.broadcast(new), POS, "left")
+        both = items._plain().join(new, POS, "left")
         done = both.withColumn("v", F.when(F.col("_hit"), F.col("_w")).otherwise(F.col("v"))).select(POS, "v")
-        self.frame, self.column, self.depth, self.union, self.token = done, "v", items.depth, items.union, next(_names)
+        self._rebind(done, items.depth, items.union)
+
+    def _rebind(self, df: DataFrame, depth: int | None = None, union: bool | None = None) -> None:
+        self.frame, self.column, self.token = df.select(POS, "v"), "v", next(_names)
+        self.depth, self.union = self.depth if depth is None else depth, self.union if union is None else union
+
+    def _set_where(self, mask: RaggedArray, value) -> None:
+        """Where the mask is true: one value, or, for a mask of rows, one for each of them in turn."""
+        if mask.depth:
+            done = self._zip(mask, lambda x, m: F.when(m, F.lit(value).cast(self.dtype.spark)).otherwise(x), self.dtype)
+            self._rebind(done._plain())
+            return
+        if len(mask) != len(self):
+            raise ShapeMismatch("mask length", f"{len(mask)} for {len(self)} rows")
+        hit = rows.running(mask._plain().where("v").select(POS), 1, "_k")
+        if _is_list(value) and not (self.depth and not any(map(_is_list, value))):
+            if len(value) != (n := hit.count()):
+                raise ShapeMismatch("one value for each selected row", f"{len(value)} for {n}")
+            kind = T.StructType([T.StructField("_k", T.LongType()), T.StructField("_w", spark_type(self.dtype, self.depth, self.union))])
+            hit = hit.join(self.frame.sparkSession.createDataFrame([(k, _deep(v, self.depth, self.dtype)) for k, v in enumerate(value)], kind), "_k")
+        else:
+            inner = _deep(value, self.depth, self.dtype) if _is_list(value) or not self.depth else None
+            if inner is None and self.depth:
+                raise ShapeMismatch("a row takes a list", repr(value))
+            one = self.frame.sparkSession.createDataFrame([(inner,)], T.StructType([T.StructField("_w", spark_type(self.dtype, self.depth, self.union))]))
+            hit = hit.crossJoin(one)  # a single row
+        both = self._plain().join(hit.withColumn("_hit", F.lit(True)), POS, "left")
+        self._rebind(both.withColumn("v", F.when(F.col("_hit"), F.col("_w")).otherwise(F.col("v"))))
+
+    def _set_per_row(self, key: list, value) -> None:
+        values = list(value) if _is_list(value) and len(value) == len(key) else [value] * len(key)
+        both = self._plain().join(self._picks(key, values), POS, "left")
+        n = F.size("v")
+        at = F.coalesce("_x", N.slice_positions(n, F.col("_s"), F.col("_e"), F.col("_t")))
+        at = F.transform(at, lambda i: N.position(i, n))
+        new = F.coalesce("_w", F.array_repeat("_o", F.size(at)))
+        fits = F.when(F.size(new) == F.size(at), F.arrays_zip(at.alias("i"), new.alias("x"))).otherwise(F.raise_error(F.lit("ShapeMismatch: one value for each selected element")))
+        self._rebind(both.withColumn("_p", fits).withColumn("v", N.written(F.col("v"), F.col("_p"))))
 
     def _set_coordinates(self, key: tuple, value) -> None:
-        if len(key) != 2 or self.depth != 1:
-            raise IndexInvalid("assignment takes (rows, columns) of a flat list", repr(key))
-        r, c = (list(x) if _is_list(x) else [x] for x in key)
-        n = max(len(r), len(c))
-        r, c = (x * n if len(x) == 1 else x for x in (r, c))
-        values = list(value) if _is_list(value) else [value] * n
-        writes: dict[int, dict[int, object]] = {}
-        sizes = {x[POS]: x["n"] for x in self.frame.select(POS, F.size(self.col["items"] if self.union else self.col).alias("n")).where(F.col(POS).isin([self._checked(i) for i in r])).collect()}
-        for i, j, v in zip(r, c, values):
-            i = self._checked(i)
-            j = j + sizes[i] if j < 0 else j
-            if not 0 <= j < sizes[i]:
-                raise IndexOutOfBounds("column index", f"{j} of {sizes[i]}")
-            writes.setdefault(i, {})[j] = v
-        shape = T.StructType([T.StructField(POS, T.LongType()), T.StructField("_w", T.MapType(T.IntegerType(), self.dtype.spark))])
-        new = self.frame.sparkSession.createDataFrame(list(writes.items()), shape)
-        both = self._plain().join(F.broadcast(new), POS, "left")
-        put = lambda a: F.when(F.col("_w").isNull(), a).otherwise(F.transform(a, lambda x, k: F.when(F.map_contains_key("_w", k), F.element_at("_w", k)).otherwise(x)))
-        v = F.struct(F.col("v")["is_list"].alias("is_list"), put(F.col("v")["items"]).alias("items")) if self.union else put(F.col("v"))
-        self.frame, self.column, self.token = both.withColumn("v", v).select(POS, "v"), "v", next(_names)
+        """Leaves at coordinates, at any depth; the last write to a place wins."""
+        if any(isinstance(p, slice) for p in key):
+            raise IndexInvalid("slices don't combine with assignment by coordinates", repr(key))
+        if len(key) != (2 if self.union else self.depth + 1):
+            raise IndexInvalid("assignment takes a coordinate for each axis", f"{len(key)} for {self.depth + 1}")
+        writes = self._paired(key)
+        values = list(value) if _is_list(value) else [value] * len(writes)
+        if len(values) != len(writes):
+            raise ShapeMismatch("one value for each coordinate", f"{len(values)} for {len(writes)}")
+        kind = self.dtype.spark.simpleString()
+        data = [(k, r, c, _convert(v, self.dtype)) for (k, r, c), v in zip(writes, values)]
+        new = self.frame.sparkSession.createDataFrame(data, f"_k long, {POS} long, _c array<long>, _w {kind}")
+        levels = 1 if self.union else self.depth
+        if not levels:
+            last = new.groupBy(POS).agg(F.max_by("_w", "_k").alias("_w"), F.lit(True).alias("_hit"))
+            self._rebind(self._plain().join(last, POS, "left").withColumn("v", F.when(F.col("_hit"), F.col("_w")).otherwise(F.col("v"))))
+            return
+        # coordinates from the end become places from 0, level by level
+        here, path = F.col("v")["items"] if self.union else F.col("v"), []
+        for i in range(levels):
+            path.append(N.position(F.col("_c")[i], F.size(here)))
+            here = F.get(here, path[-1].cast("int"))
+        placed = self._plain().join(new, POS).select(POS, "_k", "_w", F.array(*path).alias("_c"))
+        if bad := [r[0] for r in placed.select(F.exists("_c", lambda i: i.isNull())).collect() if r[0]]:  # as many as the caller wrote
+            raise IndexOutOfBounds("coordinate", f"{len(bad)} of {len(data)} are outside")
+        last = placed.groupBy(POS, "_c").agg(F.max_by(F.struct("_w"), "_k").alias("_w"))
+        writes_of = last.groupBy(POS).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_w"))).alias("_m"))
+
+        def put(x: Column, level: int, keys: list[Column]) -> Column:
+            if level == 0:
+                found = F.element_at("_m", F.array(*keys))
+                return F.when(found.isNotNull(), found["_w"]).otherwise(x)
+            return F.transform(x, lambda y, i: put(y, level - 1, [*keys, i.cast("long")]))
+
+        lists = F.col("v")["items"] if self.union else F.col("v")
+        done = F.when(F.col("_m").isNull(), lists).otherwise(put(lists, levels, []))
+        v = F.struct(F.col("v")["is_list"].alias("is_list"), done.alias("items")) if self.union else done
+        self._rebind(self._plain().join(writes_of, POS, "left").withColumn("v", v))
 
     def to_union(self) -> RaggedArray:
         if self.union:
@@ -615,49 +708,116 @@ class RaggedArray:
         return self._set(other, sets.setxor)
 
     def isin(self, test: RaggedArray) -> RaggedArray:
-        """Few test values travel as a literal list; use operators.sets.isin for many."""
-        known = [r[0] for r in sets.unique(test.values()).collect()]
-        floating = self.dtype.kind == "f"
+        """A join of the distinct values; each row then looks its own ones up."""
         to = promote_types(self.dtype, test.dtype)
-        literal = F.array(*[F.lit(x).cast(to.spark) for x in known]) if known else F.array().cast(T.ArrayType(to.spark))
-        return self._map(lambda x: N.isin(x.cast(to.spark), literal, floating and to.kind == "f"), D.bool_)
+        clean = sets.unique(test.values().select(F.col("value").cast(to.spark).alias("value")))
+        if to.kind == "f":
+            clean = clean.where(~F.isnan("value"))
+        return self._looked_up(clean.withColumn("r", F.lit(True)), to, F.lit(False), D.bool_)
+
+    def _looked_up(self, table: DataFrame, to: DType, default: Column, result: DType) -> RaggedArray:
+        """Each leaf's r in table (value of type to, r), or the default; nulls stay null."""
+        same = (lambda x: x.cast(to.spark) + F.lit(0).cast(to.spark)) if to.kind == "f" else (lambda x: x.cast(to.spark))
+        leaves = self.col["items"] if self.union else F.array(self.col) if self.depth == 0 else N.flatten_levels(self.col, self.depth - 1)
+        base = self._plain()
+        own = self.frame.select(POS, F.explode(F.array_distinct(F.transform(leaves, same))).alias("value"))
+        found = own.join(table, "value").groupBy(POS).agg(F.map_from_entries(F.collect_list(F.struct("value", "r"))).alias("_m"))
+        both = base.join(found, POS, "left")
+        f = lambda x: F.when(x.isNotNull(), F.coalesce(F.element_at("_m", same(x)), default))
+        v = N.union_map(F.col("v"), f) if self.union else N.map_leaf(F.col("v"), self.depth, f)
+        return RaggedArray(both.select(POS, v.alias("v")), "v", result, self.depth, self.union)
+
+    def search_sorted_in(self, edges: DataFrame, right: bool = False) -> RaggedArray:
+        """How many of the edges (v) lie before each leaf: both sides are ranked together, so neither travels whole."""
+        own = sets.unique(self.values()).select(F.col("value").alias("v"), F.lit(0 if right is False else 1).alias("side"), F.lit(0).alias("n"))
+        both = edges.select(F.col("v").cast(self.dtype.spark).alias("v"), F.lit(1 if right is False else 0).alias("side"), F.lit(1).alias("n")).where("v is not null").unionByName(own)
+        placed = rows.running(rows.ranked(both, [F.col("v"), F.col("side")], POS), F.col("n"), "r")
+        return self._looked_up(placed.where("n = 0").select(F.col("v").alias("value"), "r"), self.dtype, F.lit(0).cast("long"), D.int64)
 
     # random
 
-    def shuffle(self, dim: int = 0, seed: int | None = None, rng: random.Generator | None = None) -> RaggedArray:
+    def _paths(self, axis: int, f: Callable[[Column, list[Column]], Column]) -> Column:
+        """f(list, its place) for every list at axis (from 1)."""
+
+        def go(x: Column, level: int, keys: list[Column]) -> Column:
+            return f(x, keys) if level == 1 else F.transform(x, lambda y, i: go(y, level - 1, [*keys, i]))
+
+        return go(self.col, axis, [F.col(POS)])
+
+    def permutation(self, dim: int = 0, seed: int | None = None, rng: random.Generator | None = None) -> RaggedArray:
         s = random.stream(seed, rng)
         if dim == 0:
             return self._from(random.permutation(self._plain(), s), union=self.union)
-        if self._axis(dim) != self.depth:
-            raise AxisInvalid("shuffle takes axis 0 or the innermost one", f"dim={dim}")
-        key = lambda a: F.transform(a, lambda x, i: F.struct(F.xxhash64(F.lit(s), F.col(POS), i).alias("h"), x.alias("x")))
-        return self._with(N.map_innermost(self.col, self.depth, lambda a: F.array_sort(key(a)).getField("x")))
-
-    permutation = shuffle
+        if self.union:
+            raise AxisInvalid("unions are permuted along axis 0", f"dim={dim}")
+        return self._with(self._paths(self._axis(dim), lambda a, keys: random.shuffled(a, s, keys))) if self._axis(dim) else self.permutation(0, s)
 
-    def choice(self, size, replace: bool = True, seed: int | None = None, rng: random.Generator | None = None):
-        found = self._from(random.choice(self._plain(), size, random.stream(seed, rng), replace), union=self.union)
-        return found[0] if size == 1 else found
+    def shuffle(self, dim: int = 0, seed: int | None = None, rng: random.Generator | None = None) -> None:
+        """permutation, in place."""
+        done = self.permutation(dim, seed, rng)
+        self.frame, self.column, self.token = done.frame, done.column, next(_names)
 
-    def like(self, kind: str, seed: int | None = None, rng: random.Generator | None = None, low=0.0, high=1.0) -> RaggedArray:
+    def choice(self, size, replace: bool = True, dim: int = 0, seed: int | None = None, rng: random.Generator | None = None):
+        """size: a number, a share (float, rounded down) or, below axis 0, a list with one for each row. One row of axis 0 comes without the axis."""
+        s = random.stream(seed, rng)
+        axis = self._axis(dim)
+        if axis == 0:
+            if _is_list(size):
+                if len(size) != 1:
+                    raise ArgumentInvalid("axis 0 takes one size", repr(size))
+                size = size[0]
+            found = self._from(random.choice(self._plain(), size, s, replace), union=self.union)
+            return found[0] if found.frame.limit(2).count() == 1 and (size == 1 or isinstance(size, float)) else found
+        if self.union:
+            raise AxisInvalid("unions are drawn from along axis 0", f"dim={dim}")
+        if not _is_list(size):
+            return self._with(self._paths(axis, lambda a, keys: random.drawn(a, size, s, keys, replace)))
+        if len(size) != len(self):
+            raise ShapeMismatch("one size for each row", f"{len(size)} for {len(self)} rows")
+        sizes = self.frame.sparkSession.createDataFrame([(r, int(k)) for r, k in enumerate(size)], f"{POS} long, _k int")
+        both = self._from(self._plain().join(sizes, POS).select(POS, F.struct("v", "_k").alias("v")))
+        value = RaggedArray(both.frame.withColumn("w", F.col("v")["v"]), "w", self.dtype, self.depth)
+        return self._from(value.frame.select(POS, value._paths(axis, lambda a, keys: random.drawn(a, F.col("v")["_k"], s, keys, replace)).alias("v")))
+
+    def like(self, kind: str, seed: int | None = None, rng: random.Generator | None = None, low=0.0, high=1.0, dtype: DType | str | None = None) -> RaggedArray:
         """Random values in this structure; nulls are filled."""
         s = random.stream(seed, rng)
+        if self.dtype.kind in "cs":
+            raise DTypeUnsupported("random values need a numeric template", str(self.dtype))
+        if kind == "normal" and high < 0:
+            raise ArgumentInvalid("scale must not be negative", str(high))
+        if kind != "normal" and not low < high:
+            raise ArgumentInvalid("random values need low < high", f"{low} to {high}")
+        to = as_dtype(dtype) if dtype is not None else D.int64 if kind == "integers" else self.dtype if self.dtype in (D.float16, D.float32) else D.float64
+        if (to.kind in "iu") != (kind == "integers"):
+            raise ArgumentInvalid("the dtype doesn't fit the draw", f"{to} for {kind}")
 
         def draw(*keys: Column) -> Column:
             if kind == "integers":
-                return random.integers(s, low, high, *keys)
+                return random.integers(s, low, high, *keys).cast(to.spark)
             if kind == "normal":
-                return F.lit(low) + F.lit(high) * random.normal(s, *keys)
-            return F.lit(low) + F.lit(high - low) * random.uniform(s, *keys)
+                return F.lit(float(low)) + F.lit(float(high)) * random.normal(s, *keys)
+            return F.lit(float(low)) + F.lit(float(high) - float(low)) * random.uniform(s, *keys)
 
         def fill(x: Column, depth: int, keys: list[Column]) -> Column:
             return draw(*keys) if depth == 0 else F.transform(x, lambda y, i: fill(y, depth - 1, [*keys, i]))
 
-        to = D.int64 if kind == "integers" else self.dtype if self.dtype in (D.float16, D.float32) else D.float64
         if self.union:
             return self._with(F.struct(self.col["is_list"].alias("is_list"), fill(self.col["items"], 1, [F.col(POS)]).alias("items")), to)
         return self._with(fill(self.col, self.depth, [F.col(POS)]).cast(spark_type(to, self.depth, False)), to)
 
+    def uniform_like(self, low: float = 0.0, high: float = 1.0, seed: int | None = None, rng: random.Generator | None = None) -> RaggedArray:
+        return self.like("uniform", seed, rng, low, high)
+
+    def random_like(self, seed: int | None = None, rng: random.Generator | None = None) -> RaggedArray:
+        return self.like("uniform", seed, rng)
+
+    def normal_like(self, loc: float = 0.0, scale: float = 1.0, seed: int | None = None, rng: random.Generator | None = None) -> RaggedArray:
+        return self.like("normal", seed, rng, loc, scale)
+
+    def integers_like(self, low: int, high: int, dtype: DType | str | None = None, seed: int | None = None, rng: random.Generator | None = None) -> RaggedArray:
+        return self.like("integers", seed, rng, low, high, dtype)
+
 
 _names = itertools.count()
 

@@ -25,7 +25,8 @@ def append_stream(stream: DataFrame, path: str, order: list[str], checkpoint: st
         if batch_id:
             try:
                 before = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < batch_id)
-                at = (before.agg(F.max(POS)).first()[0] or -1) + 1
+                last = before.agg(F.max(POS)).first()[0]
+                at = 0 if last is None else last + 1
             except Exception as e:  # nothing is stored yet
                 if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                     raise
