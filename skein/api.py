@@ -13,7 +13,7 @@ from skein.plans.array import POS, RaggedArray
 from skein.plans.compiled import compile, compile_pipeline, compile_pipeline_info  # noqa: A004
 from skein.plans.frame import RaggedFrame
 from skein.sources.interop import from_numpy, from_tensorflow, from_torch, is_rectangular, to_numpy, to_tensorflow, to_torch
-from skein.sources.store import append, load, load_slice, open, save, stored_len  # noqa: A004
+from skein.sources.store import append, clear_path_caches, io_bytes_read, io_cache_stats, load, load_slice, open, reset_io_bytes_read, save, stored_len  # noqa: A004
 from skein.types import (
     bool_,
     can_cast,
@@ -34,8 +34,8 @@ from skein.types import (
 )
 
 __all__ = [
-    "append", "bool_", "can_cast", "char", "compile", "compile_pipeline", "compile_pipeline_info", "float16", "float32", "float64", "from_numpy", "from_tensorflow", "from_torch",
-    "int8", "int16", "int32", "int64", "is_rectangular", "load", "load_slice", "open", "promote_types", "save", "stored_len", "string", "to_numpy", "to_tensorflow", "to_torch",
+    "append", "bool_", "can_cast", "char", "clear_path_caches", "compile", "compile_pipeline", "compile_pipeline_info", "float16", "float32", "float64", "from_numpy", "from_tensorflow", "from_torch",
+    "int8", "int16", "io_bytes_read", "io_cache_stats", "reset_io_bytes_read", "int32", "int64", "is_rectangular", "load", "load_slice", "open", "promote_types", "save", "stored_len", "string", "to_numpy", "to_tensorflow", "to_torch",
     "uint8", "uint16", "uint32", "uint64",
 ]
 

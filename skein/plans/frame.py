@@ -31,6 +31,10 @@ class LevelSchema:
         raise SchemaMismatch("a column needs a level", f"{column!r} starts with none of {', '.join(self.level_of)}")
 
 
+def _present(name: str) -> str:
+    return f"_in_{name}"
+
+
 class RaggedFrame:
     def __init__(self, frame: DataFrame, kinds: dict[str, tuple[DType, int, bool]], schema: LevelSchema | None = None, peeled: int = 0):
         self._frame, self._kinds, self._schema, self._peeled = frame, kinds, schema, peeled
@@ -38,18 +42,21 @@ class RaggedFrame:
     @classmethod
     def of(cls, mapping: Mapping, schema: Sequence | None = None, spark: SparkSession | None = None) -> RaggedFrame:
         levels = LevelSchema(schema) if schema is not None else None
-        frame, kinds = None, {}
+        frame, kinds, lengths = None, {}, {}
         for name, values in mapping.items():
             a = values if isinstance(values, RaggedArray) else RaggedArray.of(values, spark=spark or session())
             column = a._plain().withColumnRenamed("v", name)
             frame = column if frame is None else frame.join(column, POS, "full")
             kinds[name] = (a.dtype, a.depth, a.union)
+            lengths[name] = len(values)
             if levels and not a.union and a.depth < levels.column_level(name):
                 raise SchemaMismatch("a column is not deep enough", f"{name!r} has {a.depth + 1} axes")
-        out = cls(frame, kinds, levels)
-        if levels and len({len(v) for v in mapping.values()}) > 1:
+        if levels and len(set(lengths.values())) > 1:
             raise ShapeMismatch("columns differ along axis 0")
-        return out
+        for name, n in lengths.items():
+            if n < max(lengths.values()):  # a shorter column knows which rows it has
+                frame = frame.withColumn(_present(name), F.col(POS) < n)
+        return cls(frame, kinds, levels)
 
     @property
     def columns(self) -> list[str]:
@@ -61,6 +68,9 @@ class RaggedFrame:
     def column(self, name: str) -> RaggedArray:
         if name not in self._kinds:
             raise ColumnMissing("no such column", name)
+        if _present(name) in self._frame.columns:
+            own = rows.rerank(self._frame.where(F.col(_present(name))).select(POS, F.col(name)))
+            return RaggedArray(own, name, *self._kinds[name])
         return RaggedArray(self._frame.select(POS, F.col(name)), name, *self._kinds[name])
 
     def _level(self, name: str) -> int:
@@ -88,7 +98,8 @@ class RaggedFrame:
             missing = [k for k in key if k not in self._kinds]
             if missing:
                 raise ColumnMissing("no such column", ", ".join(missing))
-            return RaggedFrame(self._frame.select(POS, *key), {k: self._kinds[k] for k in key}, self._schema, self._peeled)
+            partial = [c for c in map(_present, key) if c in self._frame.columns]
+            return RaggedFrame(self._frame.select(POS, *key, *partial), {k: self._kinds[k] for k in key}, self._schema, self._peeled)
         if self._schema:
             return self.at_level(self._peeled, key)
         return RaggedFrame(self._rows(key), self._kinds, None)
@@ -171,8 +182,18 @@ class RaggedFrame:
         return {c: self.column(c).to_list() for c in self._kinds}
 
     def max(self) -> dict:
-        """The greatest leaf of each numeric column; nan wins."""
-        return {c: self.column(c).reduce("max") for c, (t, _, _) in self._kinds.items() if t.numeric}
+        """The greatest leaf of each numeric column, in one pass; nan wins."""
+        numeric = {c: k for c, k in self._kinds.items() if k[0].numeric}
+
+        def greatest(c: str, depth: int, union: bool, floating: bool):
+            if union:
+                return N.maximum(F.col(c)["items"], floating)
+            return N.maximum(N.flatten_levels(F.col(c), depth - 1), floating) if depth else F.col(c)
+
+        if not numeric:
+            return {}
+        found = self._frame.agg(*[F.max(greatest(c, d, u, t.kind == "f")).alias(c) for c, (t, d, u) in numeric.items()]).first()
+        return {c: found[c] for c in numeric}
 
     def shape(self, dim: int | str = 0):
         """Entities along a level, relative to the levels already selected."""
