@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from skein import api_queries  # noqa: F401  (adds its queries)
 from skein.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
