@@ -1,20 +1,22 @@
 """Approximate nearest neighbours over learned partitions.
 
-On a sample, bounded by ``sample_rows``, the neighbour graph is cut into balanced parts by recursive
-bisection (sign-split Fiedler vectors at the median); a small network learns the part of a
-vector. Every row is indexed in its most probable part, a query visits the parts that are
-most probable for it until they hold ``mass`` of the probability, ``probes`` parts and enough
-rows. Within a part, blocks of rows meet blocks of queries, each pair of blocks in one
+Rows start in one part. A part with more than ``rows_per_part`` rows (the first one always) is learned on a sample of
+its own, bounded by ``sample_rows``, in a task: the sample's neighbour graph is cut into up to 64 balanced parts by
+recursive bisection (sign-split Fiedler vectors at the median), and a small network learns the part of a vector.
+Rows go to their most probable part, and on from there, until parts are small: their number grows with the rows. A
+query goes down to the part of its own vector and the most probable parts of every level until they hold ``mass`` of the probability, ``probes``
+parts and more than k ids. Within a part, blocks of rows meet blocks of queries, each pair of blocks in one
 task, so a part of any size is no single group; scores are exact cosines in double precision,
 summed in the order of components, so equal vectors have equal scores.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-null ids and vectors whose length is not the sample's most common one. A repeated id counts
+null ids and vectors whose length is not the most common one. A repeated id counts
 once, by its best score. Ties go to the smaller id. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +26,13 @@ from pyspark.sql import functions as F
 
 from skein.llm.store import cut
 
-SAMPLE_ROWS, ROWS_PER_PART, MOST_PARTS = 6_000, 2_048, 256
-CAND_BLOCK, QUERY_BLOCK = 4_096, 1_024
+SAMPLE_ROWS, ROWS_PER_PART = 6_000, 2_048
+#: Bisections of one part: as many as its size asks for, of the first part at least the fewest.
+FEWEST, MOST = 3, 6
+CHILDREN = 1 << MOST
+#: Levels of parts: with 64 parts each, more than any table needs.
+DEPTH = 9
+CAND_BLOCK, QUERY_BLOCK, ROUTE_BLOCK = 4_096, 1_024, 32_768
 
 
 @dataclass
@@ -122,37 +129,78 @@ def _packed(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("is_query"), pa.array([flat[e - len(x) : e].tobytes() for x, e in zip(v, ends)], pa.binary())], ["id", "is_query", "vec"])
 
 
-def _routed(router: Router, dim: int):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                p = router.chances(_unit(_matrix(batch.column("vec"), dim)))
-                yield batch.append_column("part", pa.array(p.argmax(1).astype(np.int32)))
+def _fitted(dim: int, sample_rows: int, rows_per_part: int):
+    """The router of one part, from the sample rows of least hash."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("h").to_numpy(), kind="stable")[:sample_rows]
+        x = _unit(_matrix(rows.column("vec").take(pa.array(order)), dim))
+        part, size = rows.column("part")[0].as_py(), rows.column("size")[0].as_py()
+        levels = int(np.clip(np.ceil(np.log2(size / rows_per_part)), FEWEST if part == 1 else 1, MOST))
+        levels = min(levels, int(np.log2(max(1, len(x) / 16))))
+        if not levels:  # too few rows to learn from: the part stays whole
+            return pa.table({"part": pa.array([], pa.int64()), "model": pa.array([], pa.binary())})
+        model = learn(x, levels)
+        return pa.table({"part": pa.array([part], pa.int64()), "model": pa.array([pickle.dumps(model)], pa.binary())})
 
     return run
 
 
-def _visits(router: Router, dim: int, sizes: np.ndarray, k: int, probes: int, mass: float):
-    def run(batches):
-        for batch in batches:
-            rows, parts = [], []
-            if not batch.num_rows:
-                continue
-            chance = router.chances(_unit(_matrix(batch.column("vec"), dim)))
-            for i, p in enumerate(chance):
-                order = np.argsort(-p, kind="stable")
-                enough = (np.cumsum(p[order]) >= mass) & (np.cumsum(sizes[order]) > k) & (np.arange(len(p)) + 1 >= probes)
-                n = int(np.argmax(enough)) + 1 if enough.any() else len(p)
-                rows += [i] * n
-                parts += order[:n].tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("vec").take(pa.array(rows)), pa.array(parts, pa.int32())], ["id", "vec", "part"])
+def _sent(dim: int):
+    """Rows of a part (one block of them) to the most probable of its parts; without a model they stay."""
+    schema = pa.schema([("id", pa.int64()), ("is_query", pa.bool_()), ("vec", pa.binary()), ("part", pa.int64())])
+
+    def run(rows: pa.Table, models: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
+        child = np.zeros(rows.num_rows, np.int64)
+        if models.num_rows:
+            router = pickle.loads(models.column("model")[0].as_py())
+            for a in range(0, len(child), 8192):
+                child[a : a + 8192] = router.chances(_unit(_matrix(rows.column("vec").slice(a, 8192), dim))).argmax(1)
+        part = rows.column("part").to_numpy() * CHILDREN + child
+        return pa.table([*(rows.column(c).combine_chunks() for c in ("id", "is_query", "vec")), pa.array(part)], schema=schema)
 
     return run
 
 
+def _asked(dim: int):
+    """Queries of a part to all of its parts, with their chances, and whether rows with the query's vector go there."""
+    schema = pa.schema([("id", pa.int64()), ("vec", pa.binary()), ("part", pa.int64()), ("chance", pa.float64()), ("home", pa.bool_())])
+
+    def run(queries: pa.Table, models: pa.Table) -> pa.Table:
+        if not queries.num_rows:
+            return schema.empty_table()
+        part, chance = queries.column("part").to_numpy() * CHILDREN, queries.column("chance").to_numpy()
+        if not models.num_rows:
+            return pa.table([queries.column("id").combine_chunks(), queries.column("vec").combine_chunks(), pa.array(part), pa.array(chance), queries.column("home").combine_chunks()], schema=schema)
+        p = pickle.loads(models.column("model")[0].as_py()).chances(_unit(_matrix(queries.column("vec"), dim)))
+        row, child = np.repeat(np.arange(len(p)), p.shape[1]), np.tile(np.arange(p.shape[1]), len(p))
+        taken = pa.array(row)
+        home = queries.column("home").to_numpy(zero_copy_only=False)[row] & (child == p.argmax(1)[row])
+        return pa.table([queries.column(c).combine_chunks().take(taken) for c in ("id", "vec")] + [pa.array(part[row] + child), pa.array(chance[row] * p.ravel()), pa.array(home)], schema=schema)
+
+    return run
+
+
+def _likeliest(visits: DataFrame, sizes: DataFrame, k: int, probes: int, mass: float) -> DataFrame:
+    """Of each query its home and the most probable parts that are not empty, until they hold enough."""
+    best = Window.partitionBy("id", "vec").orderBy(F.desc("home"), F.desc("chance"), "part")
+    before = best.rowsBetween(Window.unboundedPreceding, -1)
+    each = visits.join(sizes.select("part", "ids"), "part").withColumns({"held": F.coalesce(F.sum("chance").over(before), F.lit(0.0)), "met": F.coalesce(F.sum("ids").over(before), F.lit(0)), "nth": F.row_number().over(best)})
+    total = F.sum("chance").over(Window.partitionBy("id", "vec"))
+    return each.withColumn("total", total).where((F.col("held") < F.lit(mass) * F.col("total")) | (F.col("met") <= k) | (F.col("nth") <= probes)).select("id", "vec", "part", "chance", "home")
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x times a power of two, so that no square over- or underflows; products round as before."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of b with the vector a, every sum from the first component to the last."""
     last = lambda x: np.cumsum(x, axis=-1)[..., -1]
+    a, b = _scaled(a), _scaled(b)
     return last(b * a) / (np.sqrt(last(a * a)) * np.sqrt(last(b * b)))
 
 
@@ -164,20 +212,21 @@ def _best(dim: int, k: int):
             return schema.empty_table()
         ids, x = rows.column("id").to_numpy(), _matrix(rows.column("vec"), dim)
         q_ids, q = queries.column("id").to_numpy(), _matrix(queries.column("vec"), dim)
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        heads = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # a repeated id is one candidate
         near = _unit(q) @ _unit(x).T
         out = []
         for i in range(len(q)):
             s = near[i].copy()
             s[ids == q_ids[i]] = -np.inf
-            if len(s) > k:
-                edge = np.partition(s, len(s) - k)[len(s) - k]
-                chosen = np.flatnonzero(s >= edge - 1e-9)  # rounding of the fast product is far less
-            else:
-                chosen = np.arange(len(s))
-            chosen = chosen[np.isfinite(s[chosen])]
+            best = np.maximum.reduceat(s, heads)
+            edge = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -np.inf
+            chosen = np.flatnonzero((s >= edge - 1e-9) & np.isfinite(s))  # rounding of the fast product is far less
             if len(chosen):
                 exact = cosine(q[i], x[chosen])
-                order = np.lexsort((ids[chosen], -exact))[:k]
+                order = np.lexsort((ids[chosen], -exact))
+                order = order[np.sort(np.unique(ids[chosen][order], return_index=True)[1])][:k]
                 out.append((np.full(len(order), q_ids[i]), ids[chosen][order], exact[order]))
         if not out:
             return schema.empty_table()
@@ -192,31 +241,50 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, probes: int = 8, m
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     raw = raw.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(fine)
-    packed = cut(raw.mapInArrow(_packed, "id long, is_query boolean, vec binary"), "vectors")
+    packed = raw.mapInArrow(_packed, "id long, is_query boolean, vec binary").groupBy("id", "vec").agg(F.max("is_query").alias("is_query"))
+    packed = cut(packed.select("id", "is_query", "vec"), "vectors")
     shape = "query_id long, rank int, vec_id long, score double"
     lengths = packed.groupBy(F.octet_length("vec").alias("b")).count().orderBy(F.desc("count"), "b").limit(1).first()
     if lengths is None:
         return spark.createDataFrame([], shape)
-    dim, n = lengths["b"] // 8, lengths["count"]
-    packed = packed.where(F.octet_length("vec") == lengths["b"])
-    taken = packed.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(sample_rows).toPandas()
-    x = _unit(np.frombuffer(b"".join(taken["vec"]), np.float64).reshape(-1, dim))
-    levels = int(min(np.log2(MOST_PARTS), max(0, np.ceil(np.log2(n / rows_per_part))), np.log2(max(1, len(x) / 64))))
-    router = learn(x, levels)
-    placed = cut(packed.mapInArrow(_routed(router, dim), "id long, is_query boolean, vec binary, part int"), "placed")
-    sizes = np.zeros(2**levels, np.int64)
-    for part, size in placed.groupBy("part").count().collect():  # MOST_PARTS rows at most
-        sizes[part] = size
-    visits = cut(placed.where("is_query").select("id", "vec").mapInArrow(_visits(router, dim, sizes, k, probes, mass), "id long, vec binary, part int").dropDuplicates(["id", "part", "vec"]), "visits")
-    asked = np.zeros(2**levels, np.int64)
-    for part, size in visits.groupBy("part").count().collect():
-        asked[part] = size
-    per_part = lambda counts, block: F.element_at(F.array(*[F.lit(int(max(1, -(-c // block)))) for c in counts]), F.col("part") + 1)
-    rows_n, asked_n = per_part(sizes, CAND_BLOCK), per_part(asked, QUERY_BLOCK)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dim = lengths["b"] // 8
+    placed = packed.where(F.octet_length("vec") == lengths["b"]).withColumn("part", F.lit(1).cast("long"))
+    visits = placed.where("is_query").select("id", "vec").dropDuplicates().withColumns({"part": F.lit(1).cast("long"), "chance": F.lit(1.0), "home": F.lit(True)})
     own = lambda n: F.pmod(F.xxhash64("id", "vec"), n).cast("int")
-    left = placed.select("id", "vec", "part", own(rows_n).alias("a"), every(asked_n).alias("b"))
-    right = visits.select("id", "vec", "part", every(rows_n).alias("a"), own(asked_n).alias("b"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    blocks_of = lambda size, block: F.greatest(F.ceil(size / block), F.lit(1)).cast("int")
+    depth = 0
+    while True:
+        sizes = cut(placed.groupBy("part").agg(F.count("*").alias("size"), F.count_distinct("id").alias("ids")), "sizes")
+        if depth:  # a part that its own model hardly split holds equal vectors: it is searched in blocks
+            above = parents.select((F.col("part") * CHILDREN).alias("first"), F.col("size").alias("above"))
+            large = sizes.withColumn("first", F.col("part") - F.pmod("part", F.lit(CHILDREN))).join(above, "first").where((F.col("size") > rows_per_part) & (F.col("size") < 0.9 * F.col("above")))
+        else:
+            large = sizes
+        if depth == DEPTH or large.isEmpty():
+            break
+        parents = sizes
+        # a bounded sample of every large part, by hash
+        hashed = placed.join(large.select("part", "size"), "part").withColumn("h", F.xxhash64("vec", "id"))
+        chance = F.shiftrightunsigned("h", 11).cast("double") * F.lit(2.0**-53)
+        sampled = hashed.where(chance * F.col("size") <= 1.1 * sample_rows + 64).select("part", "size", "h", "vec")
+        models = cut(sampled.groupBy("part").applyInArrow(_fitted(dim, sample_rows, rows_per_part), "part long, model binary"), "models")
+        blocks = sizes.select("part", blocks_of(F.col("size"), ROUTE_BLOCK).alias("n"))
+        salted = models.join(blocks, "part").select("part", "model", every(F.col("n")).alias("b"))
+        rows = placed.join(blocks, "part").withColumn("b", own(F.col("n"))).drop("n")
+        moved = cut(rows.groupBy("part", "b").cogroup(salted.groupBy("part", "b")).applyInArrow(_sent(dim), "id long, is_query boolean, vec binary, part long"), "placed")
+        asked = cut(visits.groupBy("part").agg(blocks_of(F.count("*"), QUERY_BLOCK).alias("n")), "asked")
+        salted = models.join(asked, "part").select("part", "model", every(F.col("n")).alias("b"))
+        queries = visits.join(asked, "part").withColumn("b", own(F.col("n"))).drop("n")
+        spread = queries.groupBy("part", "b").cogroup(salted.groupBy("part", "b")).applyInArrow(_asked(dim), "id long, vec binary, part long, chance double, home boolean")
+        placed = moved
+        filled = placed.groupBy("part").agg(F.count_distinct("id").alias("ids"))
+        visits = cut(_likeliest(spread, filled, k, probes, mass), "visits")
+        depth += 1
+    asked = visits.groupBy("part").agg(blocks_of(F.count("*"), QUERY_BLOCK).alias("asked_n"))
+    grid = cut(asked.join(sizes.select("part", blocks_of(F.col("size"), CAND_BLOCK).alias("rows_n")), "part"), "grid")
+    left = placed.join(grid, "part").select("id", "vec", "part", own(F.col("rows_n")).alias("a"), every(F.col("asked_n")).alias("b"))
+    right = visits.join(grid, "part").select("id", "vec", "part", every(F.col("rows_n")).alias("a"), own(F.col("asked_n")).alias("b"))
     found = left.groupBy("part", "a", "b").cogroup(right.groupBy("part", "a", "b")).applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")

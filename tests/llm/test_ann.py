@@ -39,6 +39,46 @@ def test_recall_ties_and_scores(spark, monkeypatch):
     assert [f[1] for f in got[150]] == [100, 101, 102, 103, 104] and [f[1] for f in got[100]] == [101, 102, 103, 104, 105]
 
 
+def clustered(n, seed=4):
+    g = np.random.default_rng(seed)
+    centres = g.normal(size=(60, 16))
+    return (centres[g.integers(0, 60, n)] + 0.25 * g.normal(size=(n, 16))).astype(np.float32)
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_parts_grow_with_the_rows(spark, monkeypatch, n):
+    """Several levels of parts, with recall against brute force."""
+    monkeypatch.setattr(A, "MOST", 3)
+    monkeypatch.setattr(A, "CHILDREN", 8)
+    x = clustered(n)
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = {}
+    for r in A.nearest(df, F.col("vec_id") % 50 == 0, probes=2, mass=0.9, sample_rows=1000, rows_per_part=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y = x.astype(np.float64)
+    hits = sum(len(got[q] & {i for i, _ in exact(y, q, 5)}) for q in range(0, n, 50))
+    assert len(got) == n // 50 and all(len(f) == 5 for f in got.values())
+    assert hits / (5 * len(got)) >= 0.9
+
+
+def test_common_vectors_and_repeated_ids(spark):
+    """A third of the rows are one vector; ids repeat with other vectors."""
+    x = clustered(900)
+    x[:300] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[(i + 7) % 900].tolist()) for i in range(400, 600)] * 2
+    got = {}
+    for r in A.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, probes=2, mass=0.9, rows_per_part=64).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert all(sorted(r for r, _ in f) == [1, 2, 3, 4, 5] and len({v for _, v in f}) == 5 for f in got.values()) and len(got) == 18
+    assert sorted(v for _, v in got[100]) == [0, 1, 2, 3, 4]
+
+
+def test_extreme_components():
+    v = np.random.default_rng(5).normal(size=(4, 6))
+    for scale in (1e-300, 1e-160, 1e160, 1e300):
+        assert np.allclose(A.cosine(v[0] * scale, v), A.cosine(v[0], v)) and np.isclose(A.cosine(v[0] * scale, v[:1] * scale)[0], 1)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 1.0]), (8, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (50, [0.0, -1e-30])]
     got = A.nearest(table(spark, rows), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
