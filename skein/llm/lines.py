@@ -6,7 +6,7 @@ templates: itself, and, if it has ``least_tokens`` tokens, itself with one run o
 tokens (one of ``fields`` equal shares) generalised to a field. A template that ``min_docs``
 documents share recurs; a line with such a template is dropped, except in the document of
 least id that has the template. Leaves that too few lines reach are pruned before any template is
-counted, so only what may recur is shuffled by template.
+counted, so only what may recur is shuffled by template; the rows of a very common template are dealt over several tasks.
 
 A document of which more than ``most_dropped`` of the lines would go is left whole, whether it is a
 copy or a page with much boilerplate (1.0: none is).
@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.store import free_name
+from skein.llm.skew import join_counted
+from skein.llm.store import cut, free_name
 
 DEPTH, FIELDS, LEAST_TOKENS, MIN_DOCS = 3, 3, 9, 2
 FIELD = "<*>"
@@ -38,13 +39,17 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def templates(tokens: Column, n: Column, depth: int, fields: int, least_tokens: int) -> Column:
-    """Hashes of the line's templates: itself, and each share of the later tokens generalised."""
+    """128 bits of each of the line's templates: itself, and each share of the later tokens generalised."""
+
+    def named(*parts: Column) -> Column:
+        return F.struct(F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit(-7), *reversed(parts)).alias("t2"))
+
     rest = n - depth
-    out = [F.xxhash64(F.lit(0), n, tokens)]
+    out = [named(F.lit(0), n, tokens)]
     for i in range(fields):
         a = (F.floor(rest * i / fields) + depth).cast("int")
         b = (F.floor(rest * (i + 1) / fields) + depth).cast("int")
-        out.append(F.xxhash64(F.lit(i + 1), n, F.slice(tokens, F.lit(1), a), F.slice(tokens, b + 1, n)))
+        out.append(named(F.lit(i + 1), n, F.slice(tokens, F.lit(1), a), F.slice(tokens, b + 1, n)))
     return F.when(n >= least_tokens, F.array(*out)).otherwise(F.array(out[0]))
 
 
@@ -55,11 +60,11 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, fields: int = FIELDS, lea
     lines = once(lines, n=F.size("tokens"), leaf=F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))).where("n > 0")
     placed = lines.select("doc_id", "k", "pos", "leaf", templates(F.col("tokens"), F.col("n"), depth, fields, least_tokens).alias("templates"))
     leaves = placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    live = placed.join(leaves, "leaf", "left_semi").select("doc_id", "k", "pos", F.explode("templates").alias("template"))
-    each = live.groupBy("template", "doc_id", "k").agg(F.collect_set("pos").alias("at"))
+    live = placed.join(leaves, "leaf", "left_semi").select("doc_id", "k", "pos", F.inline("templates"))
+    each = cut(live.groupBy("t1", "t2", "doc_id", "k").agg(F.collect_set("pos").alias("at")), "templates")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    common = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(first).alias("first")).where(F.col("docs") >= min_docs)
-    later = each.join(common, "template").where(first > F.col("first"))
+    common = cut(each.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min(first).alias("first")).where(F.col("docs") >= min_docs), "common")
+    later = join_counted(each, common, ["t1", "t2"], "docs", each.count()).where(first > F.col("first"))
     return later.select("doc_id", "k", F.explode("at").alias("pos")).groupBy("doc_id", "k").agg(F.collect_set("pos").alias("gone"))
 
 
