@@ -13,7 +13,7 @@ No bucket is expanded into all pairs. Its members first meet its least node. Whe
 several components in a bucket, the members of the others meet all of the one with most members
 there (the hub), and what still differs then meets what else is in the bucket but the hub. So any two
 nodes that share a bucket end in one component or have been compared on their full sets; nothing
-is capped. These comparisons are made between blocks of at most BLOCK nodes, whose sets travel
+is capped. These comparisons are made between blocks of about BLOCK nodes, or fewer of large sets, whose sets travel
 once for each block they meet, and give at most one link for each component of a block.
 
 Nulls: a null text is empty; empty texts have n_shingles 0 and are linked with nothing; a null
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.graph import components
+from skein.llm.skew import join_counted
 from skein.llm.store import cut
 from skein.llm.text import LOWER, blocks, mix, run_hashes, window_hashes, word_bounds
 
@@ -39,8 +40,8 @@ BASE, OFFSET, TOP = 1.001, 8192, 65535
 BROADCAST_NODES = 200_000
 #: An estimate may lie this much below the threshold: five standard deviations of 112 registers.
 SLACK = 0.2
-#: Nodes that one task compares with as many others.
-BLOCK = 256
+#: Nodes, and shingles of their sets, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 SMALL = 16
 
 
@@ -159,7 +160,7 @@ def _likely(least: float):
 def _shared_counts(p: list[np.ndarray], q: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
     """Sizes of the intersections of every set of p with every set of q."""
     common = np.intersect1d(np.concatenate(p), np.concatenate(q))
-    out = np.zeros((len(p), len(q)), np.float32)
+    out = np.zeros((len(p), len(q)))
     for a in range(0, len(common), width):
         part = common[a : a + width]
         sides = []
@@ -186,7 +187,7 @@ def _compared(percent: int):
         a, b = [], []
         if len(left) and len(right):
             both = _shared_counts([sets[i] for i in left], [sets[i] for i in right])
-            n = np.array([len(s) for s in sets], np.float32)
+            n = np.array([len(s) for s in sets], np.float64)
             union = n[left][:, None] + n[right][None, :] - both
             root = {c: c for c in comp}
 
@@ -195,7 +196,7 @@ def _compared(percent: int):
                     root[c] = c = root[root[c]]
                 return c
 
-            for i, j in zip(*np.nonzero(100 * both.astype(np.float64) >= percent * union.astype(np.float64))):
+            for i, j in zip(*np.nonzero(100 * both >= percent * union)):
                 x, y = top(comp[left[i]]), top(comp[right[j]])
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -235,20 +236,31 @@ class _Links:
 
     def across(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """left and right: g, node, comp; links between the two sides of each g."""
-        counts = left.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("p")).join(right.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("q")), "g")
+        left, right = cut(self.sized(left), "left"), cut(self.sized(right), "right")
+        sizes = left.groupBy("g").agg(_blocks().alias("p"), F.count("*").alias("n_left")).join(right.groupBy("g").agg(_blocks().alias("q"), F.count("*").alias("n_right")), "g")
+        sizes = cut(sizes, "sizes")
         own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-        a = left.join(counts, "g").select("g", own(F.col("p")).alias("i"), every("q").alias("j"), F.lit(0).alias("side"), "node", "comp")
-        b = right.join(counts, "g").select("g", every("p").alias("i"), own(F.col("q")).alias("j"), F.lit(1).alias("side"), "node", "comp")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        a = join_counted(left, sizes, ["g"], "n_left", left.count()).select("g", own(F.col("p")).alias("i"), every("q").alias("j"), F.lit(0).alias("side"), "node", "comp")
+        b = join_counted(right, sizes, ["g"], "n_right", right.count()).select("g", every("p").alias("i"), own(F.col("q")).alias("j"), F.lit(1).alias("side"), "node", "comp")
         return self.grouped(a.unionByName(b))
 
     def within(self, rows: DataFrame) -> DataFrame:
         """rows: g, node, comp; links between any two of each g."""
-        counts = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))
+        rows = cut(self.sized(rows), "within")
+        sizes = cut(rows.groupBy("g").agg(_blocks().alias("p"), F.count("*").alias("n_rows")), "sizes")
         own = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
-        each = rows.join(counts, "g").withColumn("o", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+        each = join_counted(rows, sizes, ["g"], "n_rows", rows.count()).withColumn("o", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
         return self.grouped(each.select("g", F.least("o", "t").alias("i"), F.greatest("o", "t").alias("j"), F.lit(2).alias("side"), "node", "comp"))
 
+    def sized(self, rows: DataFrame) -> DataFrame:
+        return rows.select("g", "node", "comp").join(self.reps.select("node", F.col("n").alias("size")), "node")
+
+
+def _blocks():
+    """Blocks of a group: by its nodes, and by the shingles of their sets."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+
 
 def _ordered(pairs: DataFrame, x, y) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()

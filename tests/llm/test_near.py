@@ -114,3 +114,20 @@ def test_one_of_each_group_stays(make):
     for i, (_, c, _) in found.items():
         comps.setdefault(c, set()).add(i)
     assert len(kept) == len(comps) and all(len(kept & members) == 1 for members in comps.values())
+
+
+def test_texts_must_share_their_words(make):
+    """Words that plain polynomial hashes take for equal, alone and in short texts."""
+    from test_text import twins
+
+    rows = [(k, " ".join([w, *rest])) for k, (w, rest) in enumerate((w, rest) for d in (11, 12, 13) for w in twins(d) for rest in ([], ["x"], ["x", "y"]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(make(rows), shingle=2).collect()}
+    assert got == brute(rows, 2)
+
+
+def test_large_sets_make_small_blocks(make, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr("skein.llm.skew.HEAVY", 8)
+    rows = corpus(seed=9)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(make(rows), shingle=2).collect()}
+    assert got == brute(rows, 2)
