@@ -3,9 +3,10 @@
 Every window of ``window`` words holds the same content-defined anchor wherever it
 starts: the least hash among its runs of ``gram`` words. The index keeps anchors, about
 8 in 100 word positions, as immutable runs sorted by hash. A batch of documents adds a
-run; a merge join of the runs on the hash finds what repeats, within the batch and against
-history, and compaction replaces the runs by one. Only windows whose anchor repeats
-are then hashed in full (128 bits), counted, and cut out; anchors lose no equal windows.
+run; joining the runs on the hash finds what repeats, within the batch and against
+history, and compaction merges runs level by level. Only windows whose anchor repeats
+are then hashed in full, counted, and cut out; anchors lose no equal windows. A window is verified by 128 bits, two
+independent hashes of its words from two of each word's bytes, as an index keeps no texts.
 
 An index that is given also keeps the hashes of all windows, as runs of their own, so that a later call cuts
 out what repeats there. It is reopened from its path. It holds one window size; a batch that is given
@@ -23,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.skew import join_counted
 from skein.llm.store import cut, listed, remove, table_path
 from skein.llm.text import blocks, row_of, run_hashes, sliding, window_hashes, word_bounds
 
 GRAM = 12
+#: Runs of one level that are merged into one.
+FAN = 4
 
 
 def block_anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,13 +69,35 @@ def _anchor_rows(window: int, gram: int, keyed: bool):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (h, n): hashes and how often they occurred. Whole runs in path are reopened."""
+    """Sorted immutable runs of (h, n): hashes and how often they occurred.
+
+    A run's folder is named by its number, its level and the runs it was merged from, so the folder is the manifest:
+    whole runs are reopened, half-written ones and those that a whole run replaces are not. FAN runs of a level
+    are merged into one of the next, so a hash is written once for each level and not with every batch.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, keys: tuple[str, ...] = ("h",)):
         self.spark, self.path, self.keys = spark, path or table_path(spark, "runs"), keys
         there = [x for x in listed(spark, self.path) if x.startswith("run-")]
-        self.runs = [f"{self.path}/{x}" for x in there if "_SUCCESS" in listed(spark, f"{self.path}/{x}")]
-        self._made = 1 + max((int(x.removeprefix("run-")) for x in there), default=-1)
+        whole = [x for x in there if "_SUCCESS" in listed(spark, f"{self.path}/{x}")]
+        replaced = {n for x in whole for n in self._replaces(x)}
+        self.runs = sorted((x for x in whole if self._number(x) not in replaced), key=self._number)
+        for x in there:
+            if x not in self.runs:
+                remove(spark, f"{self.path}/{x}")
+        self._made = 1 + max(map(self._number, there), default=-1)
+
+    @staticmethod
+    def _number(run: str) -> int:
+        return int(run.split("-")[1])
+
+    @staticmethod
+    def _level(run: str) -> int:
+        return int(run.split("-")[2])
+
+    @staticmethod
+    def _replaces(run: str) -> list[int]:
+        return [int(x) for x in run.split("-")[3:]]
 
     def windows(self, window: int) -> FingerprintIndex:
         """The runs of window hashes, beside those of anchors."""
@@ -80,35 +106,39 @@ class FingerprintIndex:
             raise ValueError(f"the index at {self.path} holds {other[0]}, not {name}")
         return FingerprintIndex(self.spark, f"{self.path}/{name}", ("w1", "w2"))
 
-    def _write(self, counted: DataFrame) -> None:
-        at = f"{self.path}/run-{self._made}"
+    def _write(self, counted: DataFrame, level: int, merged: list[str]) -> None:
+        name = "-".join(map(str, ["run", self._made, level, *map(self._number, merged)]))
         self._made += 1
-        counted.sortWithinPartitions(*self.keys).write.option("compression", "zstd").parquet(at)
-        self.runs.append(at)
+        counted.sortWithinPartitions(*self.keys).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.runs = [x for x in self.runs if x not in merged] + [name]
+        for x in merged:
+            remove(self.spark, f"{self.path}/{x}")
 
-    def read(self) -> DataFrame:
-        """All runs; empty if there are none."""
+    def _frame(self, runs: list[str]) -> DataFrame:
         shape = ", ".join(f"{k} long" for k in (*self.keys, "n"))
-        if not self.runs:
+        if not runs:
             return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(*self.runs)
+        return self.spark.read.schema(shape).parquet(*[f"{self.path}/{x}" for x in runs])
+
+    def read(self) -> DataFrame:
+        """All runs; empty if there are none."""
+        return self._frame(self.runs)
 
     def add(self, hashes: DataFrame) -> None:
         """Append a batch as a run of its own."""
-        self._write(hashes.groupBy(*self.keys).agg(F.count("*").alias("n")))
+        self._write(hashes.groupBy(*self.keys).agg(F.count("*").alias("n")), 0, [])
 
     def compact(self) -> None:
-        """Merge all runs into one and delete them; frames that were read from them before are void."""
-        if len(self.runs) > 1:
-            old, merged = self.runs, self.read().groupBy(*self.keys).agg(F.sum("n").alias("n"))
-            self.runs = []
-            self._write(merged)
-            for path in old:
-                remove(self.spark, path)
+        """Merge every FAN runs of a level into one of the next and delete them; frames read from them before are void."""
+        level = 0
+        while level <= max(map(self._level, self.runs), default=-1):
+            while len(own := [x for x in self.runs if self._level(x) == level][:FAN]) == FAN:
+                self._write(self._frame(own).groupBy(*self.keys).agg(F.sum("n").alias("n")), level + 1, own)
+            level += 1
 
     def repeated(self) -> DataFrame:
-        """Hashes that occurred twice at least, over all runs."""
-        return self.read().groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n > 1").select(*self.keys)
+        """Hashes that occurred twice at least, over all runs, and how often."""
+        return self.read().groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def _both(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> list[np.ndarray]:
@@ -219,8 +249,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.compact()
 
     anchors = rows.select("text", "k1", "k2").mapInArrow(_anchor_rows(window, gram, True), "h long, k1 long, k2 long, p int")
-    repeated = cut(index.repeated(), "repeated")  # a table of its own, so that the join may split a common anchor
-    hits = anchors.join(repeated, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("p").alias("hits"))
+    repeated = cut(index.repeated(), "repeated")
+    most = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hits = join_counted(anchors, repeated, ["h"], "n", most, "left_semi").groupBy("k1", "k2").agg(F.collect_set("p").alias("hits"))
     classes = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     classes = cut(classes.join(hits, ["k1", "k2"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>"))), "classes")
 
@@ -229,13 +260,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         known.select("text", "k1", "k2", "copies", "hits").mapInArrow(_windows(window, gram), "w1 long, w2 long, k1 long, k2 long, s int, copies long"),
         "windows",
     )
-    twice = seen.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    if history:
-        past = cut(seen.select("w1", "w2").distinct().join(history.read(), ["w1", "w2"], "left_semi"), "past")  # before this batch enters
-        twice = twice.union(past)
+    counted = seen.groupBy("w1", "w2").agg(F.sum("copies").alias("n"))
+    if history:  # a merge join with what earlier batches hold, before this one enters
+        past = history.read().select("w1", "w2").distinct().withColumn("past", F.lit(True))
+        counted = counted.join(past, ["w1", "w2"], "left")
+        twice = cut(counted.where("n > 1 or past").select("w1", "w2", "n"), "twice")
         history.add(rows.select("text").mapInArrow(_all_windows(window), "w1 long, w2 long"))
         history.compact()
-    found = seen.where("copies = 1").join(twice, ["w1", "w2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("s").alias("starts"))
+    else:
+        twice = cut(counted.where("n > 1"), "twice")
+    most = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_counted(seen.where("copies = 1"), twice, ["w1", "w2"], "n", most, "left_semi").groupBy("k1", "k2").agg(F.collect_set("s").alias("starts"))
     state = classes.select("k1", "k2", "copies").join(found, ["k1", "k2"], "left").where("copies > 1 or starts is not null")
     marked = rows.join(state, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
     id_type = rows.schema["doc_id"].dataType.simpleString()

@@ -57,14 +57,49 @@ def test_odd_rows(odd, none):
     assert got(none) == []
 
 
-def test_index(spark):
-    index = S.FingerprintIndex(spark)
+def counts(index):
+    return {r["h"]: r["n"] for r in index.read().groupBy("h").agg({"n": "sum"}).toDF("h", "n").collect()}
+
+
+def test_index_merges_by_level_and_reopens(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = S.FingerprintIndex(spark, path)
     assert index.repeated().count() == 0
-    for batch in ([1, 2, 2], [3, 4], [4, 5]):
+    given = Counter()
+    for k in range(18):
+        batch = [k, k, k + 1, 100]
+        given.update(batch)
         index.add(spark.createDataFrame([(h,) for h in batch], "h long"))
-    assert len(index.runs) == 3 and sorted(r[0] for r in index.repeated().collect()) == [2, 4]
-    index.compact()
-    assert len(index.runs) == 1 and {r["h"]: r["n"] for r in index.read().collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
+        index.compact()
+        assert len(index.runs) <= 7  # three of each level at most, and one that is new
+    assert counts(index) == given
+    assert sorted(r["h"] for r in index.repeated().collect()) == sorted(h for h, n in given.items() if n > 1)
+    # a run without its mark was not finished; a run that a whole one replaces is not read
+    (tmp_path / "index" / "run-900-0").mkdir()
+    spark.createDataFrame([(7, 50)], "h long, n long").write.parquet(f"{path}/run-19-1-15-16-17-18")
+    assert any("-19" in x for x in index.runs)
+    again = S.FingerprintIndex(spark, path)
+    assert again.runs == index.runs and counts(again) == given and not (tmp_path / "index" / "run-900-0").exists()
+
+
+def test_windows_must_be_equal_word_for_word(make):
+    from test_text import twins
+
+    one, two = twins(12)
+    shared = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([*shared, one])), (2, " ".join([*shared, two])), (3, " ".join([*shared, "other"])), (4, " ".join(shared))]
+    assert got(make(rows)) == brute(rows, 35)
+    rows.append((5, " ".join([*shared, two])))
+    assert got(make(rows)) == brute(rows, 35)
+
+
+def test_a_very_common_passage(make, monkeypatch):
+    """A window that a third of all rows hold is dealt over many tasks, with the same result."""
+    monkeypatch.setattr("skein.llm.skew.HEAVY", 16)
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join([f"x{r.random()}" for _ in range(8)] + ([passage] if i % 3 == 0 else []) + [f"y{r.random()}"])) for i in range(120)]
+    assert got(make(rows)) == brute(rows, 35)
 
 
 def test_later_batches_meet_history(spark, make, tmp_path):
