@@ -7,6 +7,8 @@ tightest), brackets and a ``+`` after an identifier. Its worth is taken from a p
 is the least of its sides, ``or`` the greatest, ``with`` moves its licence half way to 1.
 A document's score is the least worth of all its statements, 0 if it has none.
 
+Prose that follows an expression on its line is not part of it: the longest start that parses counts.
+
 Nulls and empty texts: no words, no labels, score 0. An expression that doesn't parse adds the
 label ``malformed`` and the worth 0. Repeated rows are scanned each. Empty tables give empty results.
 """
@@ -60,6 +62,7 @@ MALFORMED = "malformed"
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
+_STEP = re.compile(rf"\s*({_TOKEN.pattern})")
 
 
 def worth(label: str) -> float:
@@ -106,6 +109,27 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def leading(said: str) -> str:
+    """The longest start of a line that parses, if prose follows it; the whole line if it isn't an expression."""
+    end, operand, depth, at = 0, False, 0, 0
+    while m := _STEP.match(said, at):
+        token = m[1]
+        if token in _RANK or token == ")":
+            if not operand or token == ")" and not depth:
+                break
+            depth -= token == ")"
+            operand = token == ")"
+        elif operand:
+            return said[:end] if end else said
+        else:
+            depth += token == "("
+            operand = token != "("
+        at = m.end()
+        if operand and not depth:
+            end = at
+    return said[:end] if end and end == at and operand else said
+
+
 def evaluate(expression: str) -> tuple[float, set[str]]:
     """Worth and identifiers of an expression in lower case."""
     postfix = to_postfix(expression)
@@ -162,7 +186,7 @@ def scan(raw: bytes) -> dict:
             tagged = True
     values = [worth(x) for x in base | labels]
     for said in expressions(raw) if tagged else []:
-        value, names = evaluate(said)
+        value, names = evaluate(leading(said))
         labels |= names
         values.append(value)
     return {

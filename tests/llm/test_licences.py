@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -45,6 +46,44 @@ def test_expressions():
     assert L.scan(b"SPDX-License-Identifier: (MIT")["labels"] == "malformed"
 
 
+@pytest.mark.parametrize(
+    ("said", "labels", "score"),
+    [
+        ("MIT This program is free", "mit", 1.0),
+        ("(MIT OR GPL-3.0) AND ISC see the notice", "gpl-3.0,isc,mit", 1.0),
+        ("GPL-2.0-only WITH Classpath-exception-2.0 (c) someone", "gpl-2.0-only", 0.7),
+        ("GPL-2.0 AND MIT; and more, later", "gpl-2.0,mit", 0.4),
+        ("MIT, or so they say", "mit", 1.0),
+        ("MIT AND", "malformed", 0.0),
+        ("AND MIT", "malformed", 0.0),
+        ("MIT) is what it says", "mit", 1.0),
+        ("?", "malformed", 0.0),
+    ],
+)
+def test_prose_after_an_expression(said, labels, score):
+    found = L.scan(f"x\nSPDX-License-Identifier: {said}\ny".encode())
+    assert (found["labels"], found["score"]) == (labels, score)
+
+
+def test_all_columns_against_brute_force(spark, make):
+    """Every phrase by plain search over words, labels and worth by the policy."""
+    draw = random.Random(5)
+    phrases = {**L.NOTICES, **L.BASE}
+    rows = []
+    for i in range(60):
+        words = [draw.choice(["mit", "license", "general", "public", "cc", "by", "sa", "code", "x9"]) for _ in range(draw.randrange(60))]
+        for phrase in draw.sample(sorted(phrases), draw.randrange(3)):
+            at = draw.randrange(len(words) + 1)
+            words[at:at] = phrase.upper().split()
+        rows.append((i, draw.choice([" ", "\n", "-"]).join(words)))
+    for r in L.scan_licences(make(rows)).collect():
+        text = dict(rows)[r["doc_id"]]
+        words = WORD.findall(text.lower())
+        labels = {label for phrase, label in phrases.items() if any(words[k : k + len(phrase.split())] == phrase.split() for k in range(len(words)))}
+        assert tuple(r)[1:6] == brute(text)
+        assert r["labels"] == ",".join(sorted(labels)) and r["score"] == min((L.worth(x) for x in labels), default=0.0)
+
+
 def test_odd_rows(odd, none):
     got = L.scan_licences(odd).collect()
     assert len(got) == odd.count() and all(r["score"] == 0.0 and r["labels"] == "" for r in got)
