@@ -1,12 +1,14 @@
 """URL filters: rules first, then an empirical-Bayes reputation of the host. [native]
 
-Labelled page outcomes (1: bad) are counted by host, registered domain (last two labels of the
-host) and suffix (last label). Each level shrinks to the posterior mean of the level above with a
-beta prior whose strength is estimated from the spread of that level's rates (beta-binomial
-moments). A page without a rule is blocked if the lower bound of its host's posterior bad rate is
-above ``limit``. A host that was never labelled has its domain's prior, which is wide.
+Labelled page outcomes (1: bad) are counted by host, registered domain and suffix. The suffix is the last label of the
+host, or the last two where they are one of ``second_level`` (a registry's own, as in co.uk); the registered domain
+has one label more; ports are left out, and an IP address is a domain of its own. Each level shrinks to the posterior
+mean of the level above, without its own counts, with a beta prior whose strength is estimated from the spread of that
+level's rates (beta-binomial moments). A page without a rule is blocked if its host's bad rate is above ``limit`` with
+a posterior probability of ``SURE`` at least, summed over ``STEPS`` points of the beta density. A host that was never
+labelled has its domain's prior, which is wide.
 
-Only counts per host leave the scan; one row of sums per level reaches the driver.
+Only counts per host leave the scan, and are kept as a table; one row of sums per level reaches the driver.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, which is a host like any
 other. Null outcomes don't count; several outcomes of a page count as its worst. Repeated rows
@@ -20,10 +22,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.store import cut
+
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = "://([^/?#]*)([^?#]*)"
-Z, LIMIT = 1.645, 0.5
+LIMIT, SURE, STEPS = 0.5, 0.95, 256
+#: Suffixes of two labels under which names are registered.
+SECOND_LEVEL = (
+    "ac.jp", "ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx",
+    "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.cn", "org.uk",
+)
 
 
 def host_of(url: Column) -> Column:
@@ -52,12 +61,29 @@ def strength(groups: int, n: float, squares: float, p: float, spread: float) ->
     return 1 / min(max(rho, 0.001), 0.5) - 1
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, mean and lower bound of the bad rate of each host of pages (page_id, host)."""
+def chance_above(mean: Column, weight: Column, limit: float) -> Column:
+    """P(rate > limit) of a beta with this mean and weight, by the density at the middles of STEPS intervals."""
+    x = lambda j: (j + F.lit(0.5)) / F.lit(float(STEPS))
+    logs = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda j: (mean * weight - 1) * F.ln(x(j)) + ((1 - mean) * weight - 1) * F.ln(1 - x(j)))
+    mass = lambda some: F.aggregate(some, F.lit(0.0), lambda t, y: t + y)
+    density = F.transform(logs, lambda y: F.exp(y - F.array_max(logs)))
+    return mass(F.transform(density, lambda y, j: F.when(x(j) > limit, y).otherwise(0.0))) / mass(density)
+
+
+def registered(host: Column, second_level: Sequence[str]) -> tuple[Column, Column]:
+    """Registered domain and suffix."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    label = lambda k: F.substring_index(name, ".", -k)
+    two, address = label(2).isin(*second_level), name.rlike("^[0-9.]+$")
+    return F.when(address, name).when(two, label(3)).otherwise(label(2)), F.when(address, "").when(two, label(2)).otherwise(label(1))
+
+
+def reputations(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, second_level: Sequence[str] = SECOND_LEVEL) -> DataFrame:
+    """host, mean of its bad rate and the chance that it is above the limit, for each host of pages (page_id, host)."""
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     seen = pages.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    label = lambda k: F.substring_index("host", ".", -k)
-    hosts = seen.select("host", label(2).alias("domain"), label(1).alias("suffix"), "n", "bad")
+    domain, suffix = registered(F.col("host"), second_level)
+    hosts = cut(seen.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     levels = {"host": hosts}
     for level, above in (("domain", "host"), ("suffix", "domain")):
         keys = [level] + (["suffix"] if level == "domain" else [])
@@ -68,22 +94,23 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     for level, rows in levels.items():
         k, squares, spread = rows.where("n > 0").agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * (F.col("bad") / F.col("n") - p) * (F.col("bad") / F.col("n") - p)), F.lit(0.0))).first()
         kappa[level] = strength(k, n, squares, p, spread)
-    shrunk = lambda prior, level: (F.col("bad") + F.lit(kappa[level]) * prior) / (F.col("n") + F.lit(kappa[level]))
-    suffixes = levels["suffix"].select("suffix", shrunk(F.lit(rate), "suffix").alias("suffix_mean"))
-    domains = levels["domain"].join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_mean"), "domain").alias("domain_mean"))
-    mean = shrunk(F.col("domain_mean"), "host")
-    found = hosts.join(domains, "domain").select("host", mean.alias("mean"), (F.col("n") + F.lit(kappa["host"])).alias("weight"))
-    bound = F.col("mean") - F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return found.select("host", "mean", bound.alias("bound"))
+    # what is known of the others of a level is the prior of one
+    others = lambda above, prior: (F.col(f"{above}_bad") - F.col("bad") + F.lit(kappa[above]) * prior) / (F.col(f"{above}_n") - F.col("n") + F.lit(kappa[above]))
+    upper = lambda level: levels[level].withColumnsRenamed({"n": f"{level}_n", "bad": f"{level}_bad"})
+    domains = levels["domain"].join(upper("suffix"), "suffix").withColumn("domain_prior", others("suffix", F.lit(rate)))
+    found = hosts.join(domains.select("domain", F.col("n").alias("domain_n"), F.col("bad").alias("domain_bad"), "domain_prior"), "domain")
+    weight = F.col("n") + F.lit(kappa["host"])
+    found = found.withColumn("mean", (F.col("bad") + F.lit(kappa["host"]) * others("domain", F.col("domain_prior"))) / weight)
+    return found.select("host", "mean", chance_above(F.col("mean"), weight, limit).alias("chance"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, second_level: Sequence[str] = SECOND_LEVEL, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict for each row of pages."""
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict})
-    known = reputations(rows.select("page_id", "host"), outcomes).select("host", "bound")
-    method = F.when(F.col("bound") > limit, "block").otherwise("allow")
+    known = reputations(rows.select("page_id", "host"), outcomes, limit, second_level).select("host", "chance")
+    method = F.when(F.col("chance") >= SURE, "block").otherwise("allow")
     return rows.join(known, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"))
 
 
@@ -101,19 +128,24 @@ def _oracle() -> str:
     said = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in order) + " END"
     kappa = lambda level: f"""k_{level} AS (SELECT 1 / least(greatest(coalesce(CASE WHEN n - sq / n - (k - 1) > 0 AND p * (1 - p) > 0 THEN (spread - p * (1 - p) * (k - 1)) / (p * (1 - p) * (n - sq / n - (k - 1))) END, 0), 0.001), 0.5) - 1 AS kappa
   FROM (SELECT count(*) AS k, sum(l.n * l.n) AS sq, sum(l.n * (l.bad / l.n - g.p) * (l.bad / l.n - g.p)) AS spread, any_value(g.n) AS n, any_value(g.p) AS p FROM {level} l, g WHERE l.n > 0))"""
+    two = "array_to_string(parts[-2:], '.') IN (" + ", ".join(f"'{x}'" for x in SECOND_LEVEL) + ")"
+    x = f"((j + 0.5::DOUBLE) / {STEPS}.0::DOUBLE)"
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-host AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM u LEFT JOIN o USING (page_id) GROUP BY host),
+named AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM u LEFT JOIN o USING (page_id) GROUP BY host),
+host AS (SELECT host, n, bad, CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN name WHEN {two} THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+  CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN '' WHEN {two} THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM named),
 domain AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM host GROUP BY domain),
-suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM host GROUP BY suffix),
+suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domain GROUP BY suffix),
 g AS (SELECT sum(n) AS n, sum(bad) / sum(n) AS p, (sum(bad) + 1) / (sum(n) + 2) AS rate FROM host),
 {kappa('host')}, {kappa('domain')}, {kappa('suffix')},
-ms AS (SELECT suffix, (s.bad + kappa * rate) / (s.n + kappa) AS m FROM suffix s, g, k_suffix),
-md AS (SELECT domain, (d.bad + kappa * m) / (d.n + kappa) AS m FROM domain d JOIN ms USING (suffix), k_domain),
-mh AS (SELECT host, (h.bad + kappa * m) / (h.n + kappa) AS m, h.n + kappa AS weight FROM host h JOIN md USING (domain), k_host)
-SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN m - {Z} * sqrt(m * (1 - m) / (weight + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM u JOIN mh USING (host)
+md AS (SELECT domain, d.n, d.bad, (s.bad - d.bad + kappa * rate) / (s.n - d.n + kappa) AS prior FROM domain d JOIN suffix s USING (suffix), g, k_suffix),
+mh AS (SELECT host, h.n + k_host.kappa AS weight, (h.bad + k_host.kappa * (d.bad - h.bad + k_domain.kappa * prior) / (d.n - h.n + k_domain.kappa)) / (h.n + k_host.kappa) AS m FROM host h JOIN md d USING (domain), k_host, k_domain),
+logs AS (SELECT host, list_transform(range(0, {STEPS}), lambda j: (m * weight - 1) * ln({x}) + ((1 - m) * weight - 1) * ln(1 - {x})) AS y FROM mh),
+sure AS (SELECT host, list_sum(list_transform(range(0, {STEPS}), lambda j: CASE WHEN {x} > {LIMIT} THEN exp(y[j + 1] - list_max(y)) ELSE 0 END)) / list_sum(list_transform(y, lambda v: exp(v - list_max(y)))) AS chance FROM logs)
+SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN chance >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN sure USING (host)
 """
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def test_reputation_shrinks_and_blocks(spark):
     assert {got[i] for i in range(40)} == {"block"} and {got[i] for i in range(40, 440)} == {"allow"}
     assert got[440] == "allow"  # one bad page proves little
     means = {r["host"]: r for r in U.reputations(pages(spark, urls).select("page_id", U.host_of(F.col("url")).alias("host")), outcomes(spark, marks)).collect()}
-    assert means["good.y.org"]["mean"] < 0.05 < means["rare.z.org"]["mean"] < means["bad.x.org"]["mean"] and means["new.x.org"]["bound"] < means["bad.x.org"]["bound"]
+    assert means["good.y.org"]["mean"] < 0.05 < means["rare.z.org"]["mean"] < means["bad.x.org"]["mean"] and means["new.x.org"]["chance"] < U.SURE <= means["bad.x.org"]["chance"]
 
 
 def test_against_numpy(spark):
@@ -60,12 +61,29 @@ def test_against_numpy(spark):
 
     domains = {d: [b for h, g in hosts.items() if h.endswith(d) for b in g] for d in ("d0.org", "d1.org")}
     ks, kd, kh = kappa([sum(domains.values(), [])]), kappa(domains.values()), kappa(hosts.values())
-    top = (s + ks * (s + 1) / (n + 2)) / (n + ks)
     for h, g in hosts.items():
         d = domains[h[3:]]
-        middle = (sum(d) + kd * top) / (len(d) + kd)
-        mean = (sum(g) + kh * middle) / (len(g) + kh)
-        assert got[h]["mean"] == pytest.approx(mean) and got[h]["bound"] == pytest.approx(mean - U.Z * (mean * (1 - mean) / (len(g) + kh + 1)) ** 0.5)
+        top = (s - sum(d) + ks * (s + 1) / (n + 2)) / (n - len(d) + ks)
+        middle = (sum(d) - sum(g) + kd * top) / (len(d) - len(g) + kd)
+        weight = len(g) + kh
+        mean = (sum(g) + kh * middle) / weight
+        x = (np.arange(U.STEPS) + 0.5) / U.STEPS
+        density = x ** (mean * weight - 1) * (1 - x) ** ((1 - mean) * weight - 1)
+        assert got[h]["mean"] == pytest.approx(mean) and got[h]["chance"] == pytest.approx(density[x > U.LIMIT].sum() / density.sum())
+        drawn = np.random.default_rng(1).beta(mean * weight, (1 - mean) * weight, 200_000)
+        assert got[h]["chance"] == pytest.approx((drawn > U.LIMIT).mean(), abs=0.01)
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.org": ("y.org", "org"), "y.org:8080": ("y.org", "org"), "10.0.0.7": ("10.0.0.7", ""), "10.0.0.7:80": ("10.0.0.7", ""), "co.uk": ("co.uk", "co.uk"), "local": ("local", "local"), "": ("", "")}
+    domain, suffix = U.registered(F.col("host"), U.SECOND_LEVEL)
+    for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect():
+        assert (r["d"], r["s"]) == hosts[r["host"]], r["host"]
+
+
+def test_repeated_pages_are_judged_each(spark):
+    df = pages(spark, ["http://a.org/", "http://a.org/"])
+    assert U.filter_urls(df.unionByName(df), outcomes(spark, [(0, 1)])).count() == 4
 
 
 def test_empty_and_native(spark):
