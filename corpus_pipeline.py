@@ -3,6 +3,11 @@
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet in the shared folder and read again as the docs of the next one. All but
 the last return the columns of documents.
+
+Nulls: a null text is judged by the quality trees like an empty one, has no lines, is a near copy of nothing, holds no item
+and is not taken into the mix; a null id is kept, a null source is a source. Empty texts stay until mixing. Very long texts
+are read whole, in blocks of their own. Repeated rows are judged alike; near-dedup leaves one of them (rows of empty texts
+all stay). Columns of any other name travel with their rows. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -50,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), store.mark()
     for name, stage in STAGES:
-        docs = store.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = store.table_path(spark, f"stage-{name}")
+        docs = store.cut(stage(spark, docs, sf_dir), f"stage-{name}", path)
+        store.release(spark, since, path)  # what the stage cut, and the stage before: nothing reads them again
     return docs

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, on a local master only, a new folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='skein-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_made: list[str] = []
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -28,9 +20,23 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or table_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables were cut so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: str = "") -> None:
+    """Delete the tables cut since a mark but one; frames that read them are void."""
+    for path in _made[since:]:
+        if path != keep:
+            remove(spark, path)
+    _made[since:] = [keep] if keep in _made[since:] else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing will read again."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -38,19 +38,44 @@ def test_stages_apply_their_operators(spark, sf, stages):
 
 
 def test_run(spark, sf, stages):
+    since = P.store.mark()
     got = P.run(spark, sf)
+    assert P.store.mark() == since + 1  # nothing but the result is left
     assert got.exceptAll(stages[-1]).count() == 0 and got.count() == stages[-1].count()
 
 
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in P.STAGES[1:]:
+    for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     odd = docs.limit(3).withColumns({"text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("long")})
     for name, stage in P.STAGES[1:-1]:
         assert stage(spark, odd, sf).count() == 3, name
 
 
+def test_odd_documents(spark, sf, odd):
+    """Nulls, empty and very long texts, repeats and clashing column names, in every stage by itself."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = odd.withColumns({"lang": F.lit("en"), "n_chars": F.char_length("text").cast("long")})
+    whole = docs.unionByName(extra, allowMissingColumns=True)
+    forest = quality.fit_quality(spark.read.parquet(f"{sf}/labels.parquet"), whole)
+    scored = quality.score_quality(extra, forest)
+    assert P.quality_stage(spark, whole, sf).where("k1 is not null").count() == scored.where("predicted = 1").count()
+    assert P.lines_stage(spark, extra, sf).count() == extra.count()
+    near_ = P.near_stage(spark, extra, sf)
+    assert near_.where("doc_id = 4").count() == 1 and near_.where("text is null").count() == 2
+    assert P.benchmark_stage(spark, extra, sf).count() == extra.count()
+    mixed = P.mixing_stage(spark, extra, sf)
+    assert mixed.where("text is null or trim(text) = ''").count() == 0 and "own k1" in {r["k1"] for r in mixed.select("k1").collect()}
+
+
+def test_labels_and_items_with_clashing_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{sf}/{t}.parquet").withColumns({c: F.lit("own") for c in ("text_", "label", "k", "score", "source", "lang", "id", "word", "n")}) for t in ("labels", "benchmark"))
+    assert quality.score_quality(docs, quality.fit_quality(labels, docs)).count() == docs.count()
+    assert {r["doc_id"] for r in benchmark.contamination(docs, items).where("contaminated").collect()} == {r["doc_id"] for r in benchmark.contamination(docs, items.select("item_id", "text")).where("contaminated").collect()}
+
+
 def test_pages_of_mostly_boilerplate_lose_it(spark, make):
     frame = "Home About Contact\nsign up for our letter\nterms and privacy\nall rights reserved"
     docs = make([(i, f"{frame}\nown story {'abcdefghijkl'[i]}") for i in range(12)]).withColumn("n_chars", F.char_length("text").cast("long"))
