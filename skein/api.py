@@ -305,6 +305,12 @@ def _cloud(x: RaggedArray, dim: int):
     return x._plain().select(F.col(POS).alias("grp"), F.posexplode("v").alias("pos", "point"))
 
 
+def _dimensions(points) -> int | None:
+    """The length of the points, if all have the same."""
+    least, most = points.agg(F.min(F.size("point")), F.max(F.size("point"))).first()
+    return most if least == most else None
+
+
 def neighbors(query: RaggedArray, data: RaggedArray, k: int | None = None, radius: float | None = None, dim: int = 0, loop: bool = True, return_distances: bool = False, gpu: bool = False):
     """Edges [src, dst] by distance, then position; gpu is accepted and ignored."""
     if (k is None) == (radius is None):
@@ -313,7 +319,7 @@ def neighbors(query: RaggedArray, data: RaggedArray, k: int | None = None, radiu
     keep = loop or not same
     group = "grp" if dim == 1 else None
     q, x = _cloud(query, dim), _cloud(data, dim)
-    found = _near.knn(q, x, k, keep, group) if k is not None else _near.radius(q, x, radius, keep, group)
+    found = _near.knn(q, x, k, keep, group) if k is not None else _near.radius(q, x, radius, keep, group, dimensions=_dimensions(x))
     keys = ["grp"] if group else []
     pairs = F.array_sort(F.collect_list(F.struct("distance", "dst")))
     each = found.groupBy(*keys, "src").agg(pairs.alias("x"))

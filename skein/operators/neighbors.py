@@ -18,7 +18,7 @@ from skein.functions.nested import squared_distance
 
 #: Points that one task holds of each side.
 BLOCK = 4096
-#: Above this many dimensions a cell has too many neighbours.
+#: Coordinates that make cells: of more, a cell has too many neighbours.
 GRID_DIMENSIONS = 3
 
 
@@ -96,8 +96,9 @@ def knn(queries: DataFrame, data: DataFrame, k: int, loop: bool = True, group: s
 def radius(queries: DataFrame, data: DataFrame, r: float, loop: bool = True, group: str | None = None, pos: str = "pos", point: str = "point", dimensions: int | None = None) -> DataFrame:
     """(group,) src, dst and distance of all pairs within r, the bound included.
 
-    In up to three dimensions (pass them) points meet only in the 3**d cells around the query's;
-    in more, groups meet on their key and single clouds in one range join.
+    Points meet only in the 3**d cells around the query's: of all coordinates up to three (pass the dimensions), of the
+    first three in more, as points within r are so in each coordinate. Without dimensions groups meet on their key and
+    single clouds in one range join.
     """
     if r < 0:
         raise ArgumentInvalid("radius must not be negative", f"r is {r}")
@@ -105,9 +106,9 @@ def radius(queries: DataFrame, data: DataFrame, r: float, loop: bool = True, gro
     side = lambda df, p: df.select(*keys, F.col(pos).cast("long").alias(p), F.col(point).cast("array<double>").alias(f"{p}_point"))
     q, x = side(queries, "src"), side(data, "dst")
     on = list(keys)
-    if dimensions and dimensions <= GRID_DIMENSIONS and r > 0:
+    if dimensions and r > 0:
         cell = lambda p, i: F.floor(F.col(p)[i] / F.lit(float(r)))
-        for i in range(dimensions):
+        for i in range(min(dimensions, GRID_DIMENSIONS)):
             q = q.withColumn(f"_c{i}", cell("src_point", i))
             x = x.withColumn(f"_c{i}", F.explode(F.array(*[cell("dst_point", i) + s for s in (-1, 0, 1)])))
             on.append(f"_c{i}")

@@ -78,6 +78,14 @@ def on_rows(name: str, columns: str, make, value: str, having: str = "") -> None
         return nested(spark, d, *columns.split()).select("key", make().alias("value"))
 
 
+def on_aggregate(name: str, make, value: str) -> None:
+    """As on_rows, for reductions that don't ask for the order of lines: no list is made."""
+
+    @query(name, f"SELECT key, {value} AS value FROM l GROUP BY key", lines=True)
+    def run(spark, d):
+        return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(make(lambda c: F.expr(VALUES[c])).alias("value"))
+
+
 C = F.col
 z = lambda a, b, f: N.zip_leaf(C(a), C(b), 1, 1, f)
 m = lambda a, f: N.map_leaf(C(a), 1, f)
@@ -117,7 +125,8 @@ on_lists("where_select", "qn qty price", lambda: F.zip_with(z("qn", "qty", lambd
 
 # reductions along the list
 on_rows("reduce_sum_dim1", "qn", lambda: N.total(C("qn"), "double"), "sum(qn)")
-on_rows("reduce_mean_dim1", "qn", lambda: F.round(N.mean(C("qn")), 6), "round(avg(qn), 6)")
+on_aggregate("reduce_mean_dim1", lambda v: F.round(F.avg(v("qn")), 6), "round(avg(qn), 6)")
+on_rows("reduce_mean_dim1_lists", "qn", lambda: F.round(N.mean(C("qn")), 6), "round(avg(qn), 6)")
 on_rows("reduce_min_dim1", "qx", lambda: N.minimum(C("qx"), True), "CASE WHEN bool_or(isnan(qx)) THEN 'nan'::DOUBLE ELSE min(qx) END")
 on_rows("reduce_max_dim1", "qn", lambda: N.maximum(C("qn"), True), "max(qn)")
 on_rows("reduce_ptp_dim1", "qn", lambda: N.ptp(C("qn"), True), "max(qn) - min(qn)")
@@ -125,7 +134,8 @@ on_rows("reduce_sum_bool", "qty", lambda: N.total(F.transform("qty", lambda x: (
 on_rows("var_std_ddof0_dim1", "qn", lambda: F.round(N.variance(C("qn")) + F.sqrt(N.variance(C("qn"))), 4), "round(var_pop(qn) + stddev_pop(qn), 4)")
 on_rows("var_ddof1_dim1", "qn", lambda: F.round(N.variance(C("qn"), 1), 4), "round(var_samp(qn), 4)")
 on_rows("nanvar", "qx", lambda: F.round(N.variance(C("qx"), 0, True), 4), "round(var_pop(CASE WHEN NOT isnan(qx) THEN qx END), 4)")
-on_rows("quantile_dim1", "qn", lambda: F.round(N.quantile(C("qn"), 0.3), 6), "round(quantile_cont(qn, 0.3), 6)")
+on_aggregate("quantile_dim1", lambda v: F.round(F.percentile(v("qn"), F.lit(0.3)), 6), "round(quantile_cont(qn, 0.3), 6)")
+on_rows("quantile_dim1_lists", "qn", lambda: F.round(N.quantile(C("qn"), 0.3), 6), "round(quantile_cont(qn, 0.3), 6)")
 on_rows("median_dim1", "qn", lambda: N.quantile(C("qn"), 0.5), "quantile_cont(qn, 0.5)")
 on_rows("nanmedian_dim1", "qx", lambda: N.quantile(C("qx"), 0.5, True), "quantile_cont(CASE WHEN NOT isnan(qx) THEN qx END, 0.5)")
 on_rows("shape_dim1", "qn", lambda: F.size("qn").cast("long"), "count(*)")
@@ -181,18 +191,36 @@ def argwhere_rows(spark, d):
 
 
 # axis 0
+def placed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Lines with their place in their order: no list is made."""
+    from pyspark.sql import Window
+
+    taken = [F.expr(VALUES[c]).alias(c) for c in columns]
+    li = table(spark, d, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1
+    return li.select(F.col("l_orderkey").alias("key"), place.cast("long").alias("pos"), *taken)
+
+
 @query("reduce_sum_dim0_strict", "SELECT pos, CASE WHEN count(qn) = (SELECT count(DISTINCT key) FROM l) THEN sum(qn) END AS value, max(qn) AS greatest FROM l GROUP BY pos", lines=True)
 def reduce_sum_dim0_strict(spark, d):
-    df = flat(spark, d, "qn")
-    n = table(spark, d, "lineitem").agg(F.count_distinct("l_orderkey")).first()[0]
-    strict = rows.strict_axis0(df, {"value": F.sum("qn")}, "pos", "qn", n)
-    return strict.join(df.groupBy("pos").agg(F.max("qn").alias("greatest")), "pos")
+    """One pass: every order with lines has a first one, so the rows at place 0 tell how many there are."""
+    found = placed(spark, d, "qn").groupBy("pos").agg(F.count("qn").alias("n"), F.count("*").alias("rows"), F.sum("qn").alias("value"), F.max("qn").alias("greatest"))
+    total = F.max(F.when(F.col("pos") == 0, F.col("rows"))).over(_all_places())
+    return found.withColumn("total", total).select("pos", F.when(F.col("n") == F.col("total"), F.col("value")).alias("value"), "greatest")
+
+
+def _all_places():
+    """One group of a row per place: as long as the longest list."""
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.lit(0))
 
 
 @query("var_dim0_strict", "SELECT pos, round(CASE WHEN count(qty) = (SELECT count(DISTINCT key) FROM l) THEN var_pop(qty) END, 4) AS value FROM l GROUP BY pos", lines=True)
 def var_dim0_strict(spark, d):
-    n = table(spark, d, "lineitem").agg(F.count_distinct("l_orderkey")).first()[0]
-    return rows.strict_axis0(flat(spark, d, "qty"), {"value": F.round(F.var_pop("qty"), 4)}, "pos", "qty", n)
+    found = placed(spark, d, "qty").groupBy("pos").agg(F.count("qty").alias("n"), F.count("*").alias("rows"), F.var_pop("qty").alias("value"))
+    total = F.max(F.when(F.col("pos") == 0, F.col("rows"))).over(_all_places())
+    return found.withColumn("total", total).select("pos", F.round(F.when(F.col("n") == F.col("total"), F.col("value")), 4).alias("value"))
 
 
 @query("reduce_axis0_rows", "SELECT round(sum(value), 2) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, round(max(value) - min(value), 2) AS ptp, round(quantile_cont(value, 0.5), 6) AS median FROM events")
@@ -215,7 +243,11 @@ q AS (SELECT o.key, o.pos, l.pos AS idx, l.qty FROM o LEFT JOIN l ON l.key = o.o
 
 @query("reduce_deep_dim2", THREE + " SELECT key, pos, sum(qty) AS value FROM q GROUP BY key, pos", lines=True)
 def reduce_deep_dim2(spark, d):
-    return out(customers(spark, d), N.map_innermost(C("x"), 2, lambda a: N.total(a, "double")))
+    """Orders are summed before they are nested: lists only hold what is asked for."""
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("value"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key")).join(sums, "o_orderkey", "left")
+    lists = F.array_sort(F.collect_list(F.struct("o_orderkey", "value")))
+    return out(orders.groupBy("key").agg(lists.getField("value").alias("x")), C("x"))
 
 
 @query("reduce_deep_dim1", THREE + ", c AS (SELECT key, count(DISTINCT pos) AS n FROM q GROUP BY key) SELECT key, idx AS pos, CASE WHEN count(qty) = any_value(n) THEN sum(qty) END AS value FROM q JOIN c USING (key) WHERE idx IS NOT NULL GROUP BY key, idx", lines=True)
@@ -254,13 +286,8 @@ def df_level_peel(spark, d):
     return peeled.select("key", F.col("pos").cast("long").alias("pos"), F.posexplode("y").alias("idx", "value")).withColumn("idx", F.col("idx").cast("long"))
 
 
-@query("df_drill_down", THREE + " SELECT key, idx AS pos, qty AS value FROM q WHERE pos = 1 AND idx IS NOT NULL AND key BETWEEN 10 AND 500", lines=True)
+@query("df_drill_down", THREE + " SELECT key, idx AS pos, qty AS value FROM q WHERE pos = 1 AND idx IS NOT NULL", lines=True)
 def df_drill_down(spark, d):
-    return out(customers(spark, d).where("key between 10 and 500"), F.get("x", F.lit(1)))
-
-
-@query("df_drill_down_all")
-def df_drill_down_all(spark, d):
     return out(customers(spark, d), F.get("x", F.lit(1)))
 
 
@@ -325,11 +352,13 @@ def flatten(spark, d):
     return rows.flatten(nested(spark, d, "qty"), "qty", "key", at="pos").select("key", F.col("pos").cast("long").alias("pos"), F.col("qty").alias("value"))
 
 
-@query("unflatten", "WITH n AS (SELECT key, count(*) AS n FROM l GROUP BY key) SELECT key, CASE WHEN pos < 1 THEN 0 ELSE 1 END AS pos, sum(qty) AS value FROM l JOIN n USING (key) WHERE n > 1 GROUP BY 1, 2", lines=True)
+@query("unflatten", "SELECT key, i AS pos, sum(qty) FILTER ((pos < 1) = (i = 0)) AS value, count(qty) FILTER ((pos < 1) = (i = 0)) AS n FROM l CROSS JOIN range(0, 2) t(i) GROUP BY key, i", lines=True)
 def unflatten(spark, d):
-    df = nested(spark, d, "qty").where(F.size("qty") > 1)
+    """The first line of each order, and the others."""
+    df = nested(spark, d, "qty")
     runs = N.unflatten(C("qty"), F.array(F.lit(1), F.size("qty") - 1))
-    return out(df, F.transform(runs, lambda r: N.total(r, "double"))).withColumn("pos", F.col("pos").cast("int"))
+    each = df.select("key", F.posexplode(runs).alias("pos", "r"))
+    return each.select("key", F.col("pos").cast("long").alias("pos"), N.total(C("r"), "double").alias("value"), F.size("r").cast("long").alias("n"))
 
 
 @query("cat_dim0", "SELECT n_nationkey::BIGINT AS pos, n_name AS value FROM nation UNION ALL SELECT (SELECT count(*) FROM nation) + r_regionkey, r_name FROM region")
@@ -427,21 +456,26 @@ def matrix(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
 MATRIX = "WITH e AS (SELECT vec_id AS i, unnest(range(0, 64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) "
 
 
-@query("dot", MATRIX + "SELECT round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b ON a.j = b.j WHERE a.i = 0 AND b.i = 1")
+@query("dot", MATRIX + "SELECT round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b ON a.i = b.i WHERE a.j = 0 AND b.j = 1")
 def dot(spark, d):
-    a, b = (matrix(spark, d, f"vec_id = {i}").select(F.col("i1").alias("i0"), "v") for i in (0, 1))
+    """The first two components of all vectors, as vectors over the rows."""
+    a, b = (matrix(spark, d).where(f"i1 = {j}").select("i0", "v") for j in (0, 1))
     return linalg.dot(a, b).select(F.round("v", 6).alias("v"))
 
 
+def component_sums(spark: SparkSession, d: str) -> DataFrame:
+    return linalg.einsum("ij->j", matrix(spark, d))
+
+
 @query("norm", MATRIX + "SELECT i, round(sqrt(sum(v * v)), 6) AS v FROM e GROUP BY i")
 def norm(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.round(N.norm(F.col("embedding").cast("array<double>")), 6).alias("v"))
 
 
-@query("outer", MATRIX + "SELECT a.j AS i0, b.j AS i1, round(a.v * b.v, 8) AS v FROM e a, e b WHERE a.i = 0 AND b.i = 1")
+@query("outer", MATRIX + ", s AS (SELECT j, sum(v) AS v FROM e GROUP BY j) SELECT a.j AS i0, b.j AS i1, round(a.v * b.v, 6) AS v FROM s a, s b")
 def outer(spark, d):
-    a, b = (matrix(spark, d, f"vec_id = {i}").select(F.col("i1").alias("i0"), "v") for i in (0, 1))
-    return linalg.outer(a, b).withColumn("v", F.round("v", 8))
+    a = component_sums(spark, d)
+    return linalg.outer(a, a).withColumn("v", F.round("v", 6))
 
 
 @query("trace", MATRIX + "SELECT round(sum(v), 6) AS v FROM e WHERE i = j")
@@ -477,10 +511,9 @@ def einsum_row_sum(spark, d):
     return linalg.einsum("ij->i", matrix(spark, d)).withColumn("v", F.round("v", 6))
 
 
-@query("tensordot", MATRIX + "SELECT a.i AS i0, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b ON a.j = b.j WHERE b.i = 3 GROUP BY a.i")
+@query("tensordot", MATRIX + ", s AS (SELECT j, sum(v) AS v FROM e GROUP BY j) SELECT a.i AS i0, round(sum(a.v * b.v), 6) AS v FROM e a JOIN s b ON a.j = b.j GROUP BY a.i")
 def tensordot(spark, d):
-    b = matrix(spark, d, "vec_id = 3").select(F.col("i1").alias("i0"), "v")
-    return linalg.tensordot(matrix(spark, d), b, 1).withColumn("v", F.round("v", 6))
+    return linalg.tensordot(matrix(spark, d), component_sums(spark, d), 1).withColumn("v", F.round("v", 6))
 
 
 def _square(spark, d):
@@ -533,13 +566,8 @@ def radius_dim1_no_loop(spark, d):
     return neighbors.radius(p, p, 0.1, loop=False, group="grp", dimensions=3).select("grp", "src", "dst", F.round("distance", 6).alias("distance"))
 
 
-@query("pairwise_dim1", f"WITH {POINTS} SELECT a.grp, a.pos AS src, b.pos AS dst, round(sqrt({_D2}), 6) AS distance FROM pt a JOIN pt b ON a.grp = b.grp WHERE a.grp < 2")
+@query("pairwise_dim1", f"WITH {POINTS} SELECT a.grp, a.pos AS src, b.pos AS dst, round(sqrt({_D2}), 6) AS distance FROM pt a JOIN pt b ON a.grp = b.grp")
 def pairwise_dim1(spark, d):
-    return neighbors.pairwise(points(spark, d).where("grp < 2"), "grp").withColumn("distance", F.round("distance", 6))
-
-
-@query("pairwise_dim1_all")
-def pairwise_dim1_all(spark, d):
     return neighbors.pairwise(points(spark, d), "grp").withColumn("distance", F.round("distance", 6))
 
 

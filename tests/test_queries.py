@@ -38,23 +38,6 @@ def test_query(spark, sf, duck, name):
     assert normal(got) == normal(expected)
 
 
-def test_pairwise_covers_every_group(spark, sf, duck):
-    points = duck.execute("SELECT label, vec_id, embedding[1:3]::DOUBLE[] FROM embeddings").fetchall()
-    expected = {(g, i, j): math.dist(p, q) for g, i, p in points for h, j, q in points if g == h}
-    got = {(r["grp"], r["src"], r["dst"]): r["distance"] for r in QUERIES["pairwise_dim1_all"](spark, sf).collect()}
-    assert got.keys() == expected.keys() and len({g for g, _, _ in got}) > 2
-    assert all(abs(got[k] - x) < 2e-6 for k, x in expected.items())
-
-
-def test_drill_down_covers_every_customer(spark, sf, duck):
-    rows = duck.execute(ORACLES["df_level_peel"]).fetchall()
-    names = [c[0] for c in duck.description]
-    peeled = [dict(zip(names, r)) for r in rows]
-    expected = sorted((r["key"], r["idx"], r["value"]) for r in peeled if r["pos"] == 1)
-    got = sorted((r["key"], r["pos"], r["value"]) for r in QUERIES["df_drill_down_all"](spark, sf).collect())
-    assert got == expected and got[0][0] < 10
-
-
 def test_flagship_is_one_partial_aggregate(spark, sf):
     plan = QUERIES["sum_of_products"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_sum" in plan
