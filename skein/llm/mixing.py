@@ -10,18 +10,21 @@ of a source add up to their expectation within one, however many rows it has.
 Blocks and their random numbers depend on ids, texts' sizes and sources alone: reruns agree.
 
 Nulls: a null text has size 0, a null source is a source, last in order. Documents of
-size 0 take nothing. Repeated rows are rounded each. Empty tables give empty results.
+size 0 take nothing. Rows that are equal in id, source and text are rounded as one, whose copies are dealt to them as
+evenly as can be. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.llm.skew import join_counted
 from skein.llm.store import cut, free_name
 
 WEIGHTS = (5, 2, 1)
@@ -101,17 +104,21 @@ def _round(seed: int, level: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and two hashes of id, source and text for each row."""
+KEY = ["tie", "tie2"]
+
+
+def _units(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sized rows, and for each set of equal rows how many they are (m) and how many copies they take together."""
     key = [F.col(c) for c in (id_col, source_col, text_col)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(*key).alias("tie"), F.xxhash64(F.lit(7), *key).alias("tie2"))
     rows = cut(rows, "sized")
-    known = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most), "targets")
+    units = cut(rows.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("m")), "units")
+    known = cut(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n")), weights, most), "targets")
     known = known.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(share + 1e-12)
-    joined = rows.join(known, rows["source"].eqNullSafe(known["source"])).select(
-        "doc_id", rows["source"], "size", "tie", "tie2", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(share - whole, F.lit(0.0)).alias("p"), "blocks", F.pmod("tie2", "blocks").alias("block")
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("m")
+    whole = F.floor(share + 1e-9)
+    joined = units.join(known, units["source"].eqNullSafe(known["source"])).select(
+        "doc_id", units["source"], "size", "tie", "tie2", "m", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(share - whole, F.lit(0.0)).alias("p"), "blocks", F.pmod("tie2", "blocks").alias("block")
     )
     live, done = joined.withColumn("last", F.col("blocks") == 1), []
     depth, widest = 0, known.agg(F.coalesce(F.max("blocks"), F.lit(1))).first()[0]
@@ -125,24 +132,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         depth, widest = depth + 1, -(-widest // FAN)
         up = step.where(rest).withColumns({"block": F.floor(F.col("block") / FAN), "blocks": F.ceil(F.col("blocks") / FAN)})
         live = up.withColumn("last", F.col("blocks") == 1).select(*live.columns)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
+    out = reduce(DataFrame.unionByName, done)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "tie", "tie2")
+    return rows, cut(out.select(*KEY, "m", "source_size", "target", copies.cast("long").alias("together")), "copies")
+
+
+def _dealt(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """rows, which have KEY, with their units' columns and the copies of each: equal rows differ by one at most."""
+    n = units.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    several = units.where("m > 1")
+    if several.isEmpty():
+        return rows.join(units, KEY).withColumn("copies", F.col("together"))
+    alone = rows.join(units.where("m = 1"), KEY).withColumn("copies", F.col("together"))
+    # equal rows are numbered within their partitions, and moved up by the partitions before
+    equal = cut(join_counted(rows, several, KEY, "m", n).withColumn("_u", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_u", 33)), "equal")
+    at = [*KEY, "_part"]
+    before = Window.partitionBy(*KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = equal.groupBy(*at).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(*at).orderBy("_u")) - 1 + F.col("_start")
+    copies = F.floor(F.col("together") / F.col("m")) + F.when(nth < F.col("together") % F.col("m"), 1).otherwise(0)
+    return alone.unionByName(equal.join(starts, at).withColumn("copies", copies.cast("long")).drop("_u", "_part", "_start"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for each row."""
+    rows, units = _units(docs, weights, most, seed, id_col, text_col, source_col)
+    found = _dealt(rows, units)
+    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as often as it is taken, and a column
     copy from 0 (with underscores added if docs has one)."""
-    mixed = mix(docs, weights, most, seed, id_col, text_col, source_col)
-    each = mixed.groupBy("tie", "tie2").agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    _, units = _units(docs, weights, most, seed, id_col, text_col, source_col)
     key = [docs[c] for c in (id_col, source_col, text_col)]
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(*key).alias("tie"), F.xxhash64(F.lit(7), *key).alias("tie2"))
-    # rows that are equal share the list of their copies
-    place = F.row_number().over(Window.partitionBy("tie", "tie2").orderBy(F.lit(0)))
-    found = rows.join(each, ["tie", "tie2"]).withColumn("n", F.element_at("copies", place)).where("n > 0")
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias(free_name("copy", docs.columns)))
+    found = _dealt(rows, units).where("copies > 0")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias(free_name("copy", docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

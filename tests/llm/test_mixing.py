@@ -70,3 +70,25 @@ def test_odd_rows(odd, none):
     got = M.mix(odd).collect()
     assert len(got) == odd.count() and {r["size"] for r in got if r["doc_id"] in (1, 2, 5)} == {0} and all(r["taken"] == 0 for r in got if not r["size"])
     assert M.mix(none).collect() == [] and M.take(none).count() == 0
+
+
+def test_many_equal_rows(spark, make, monkeypatch):
+    """A third of all rows is one row: their copies differ by one at most, and reruns over other partitions agree."""
+    monkeypatch.setattr("skein.llm.skew.HEAVY", 16)
+    rows = [(i, f"word {i} " * (1 + i % 7), "ab"[i % 2]) for i in range(400)] + [(9999, "the same words again", "a")] * 200
+    seen = []
+    for parts in (3, 7):
+        docs = make(rows).repartition(parts)
+        found = M.mix(docs).collect()
+        assert len(found) == 600
+        equal = sorted(r["copies"] for r in found if r["doc_id"] == 9999)
+        assert len(equal) == 200 and equal[-1] - equal[0] <= 1
+        by = {}
+        for r in found:
+            by.setdefault(r["source"], [0, r["target"]])[0] += r["taken"]
+            assert 0 <= r["taken"] <= 3 * r["size"]
+        assert all(abs(taken - target) <= 0.02 * target for taken, target in by.values())
+        taken = M.take(docs)
+        assert taken.count() == sum(r["copies"] for r in found) and taken.where("doc_id = 9999").count() == sum(equal)
+        seen.append(sorted((r["doc_id"], r["copies"]) for r in found))
+    assert seen[0] == seen[1]
