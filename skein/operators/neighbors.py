@@ -106,6 +106,9 @@ def radius(queries: DataFrame, data: DataFrame, r: float, loop: bool = True, gro
     side = lambda df, p: df.select(*keys, F.col(pos).cast("long").alias(p), F.col(point).cast("array<double>").alias(f"{p}_point"))
     q, x = side(queries, "src"), side(data, "dst")
     on = list(keys)
+    if r == 0:
+        q, x = q.withColumn("_c", F.col("src_point")), x.withColumn("_c", F.col("dst_point"))
+        on.append("_c")
     if dimensions and r > 0:
         cell = lambda p, i: F.floor(F.col(p)[i] / F.lit(float(r)))
         for i in range(min(dimensions, GRID_DIMENSIONS)):
