@@ -38,19 +38,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def templates(tokens: Column, n: Column, depth: int, fields: int, least_tokens: int) -> Column:
-    """128 bits of each of the line's templates: itself, and each share of the later tokens generalised."""
-
-    def named(*parts: Column) -> Column:
-        return F.struct(F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit(-7), *reversed(parts)).alias("t2"))
-
-    rest = n - depth
-    out = [named(F.lit(0), n, tokens)]
-    for i in range(fields):
-        a = (F.floor(rest * i / fields) + depth).cast("int")
-        b = (F.floor(rest * (i + 1) / fields) + depth).cast("int")
-        out.append(named(F.lit(i + 1), n, F.slice(tokens, F.lit(1), a), F.slice(tokens, b + 1, n)))
-    return F.when(n >= least_tokens, F.array(*out)).otherwise(F.array(out[0]))
+def templates(lines: DataFrame, depth: int, fields: int, least_tokens: int) -> DataFrame:
+    """A row for each template of each line (tokens, n), in 128 bits: itself, and each share of the later tokens generalised."""
+    which = F.when(F.col("n") >= least_tokens, F.array(*map(F.lit, range(fields + 1)))).otherwise(F.array(F.lit(0)))
+    each = lines.withColumn("i", F.explode(which))
+    rest, i = F.col("n") - depth, F.col("i")
+    a = F.when(i == 0, F.col("n")).otherwise(F.floor(rest * (i - 1) / fields) + depth).cast("int")
+    b = F.when(i == 0, F.col("n")).otherwise(F.floor(rest * i / fields) + depth).cast("int")
+    each = once(each, head=F.slice("tokens", F.lit(1), a), tail=F.slice("tokens", b + 1, F.col("n")))
+    return each.select("doc_id", "k", "pos", "leaf", F.xxhash64("i", "n", "head", "tail").alias("t1"), F.xxhash64(F.lit(-7), "i", "n", "head", "tail").alias("t2"))
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, fields: int = FIELDS, least_tokens: int = LEAST_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -58,9 +54,10 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, fields: int = FIELDS, lea
     lines = docs.select("doc_id", "k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = once(lines, tokens=F.array_remove(F.split(masked(F.col("line")), " "), "")).drop("line")
     lines = once(lines, n=F.size("tokens"), leaf=F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))).where("n > 0")
-    placed = lines.select("doc_id", "k", "pos", "leaf", templates(F.col("tokens"), F.col("n"), depth, fields, least_tokens).alias("templates"))
-    leaves = placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    live = placed.join(leaves, "leaf", "left_semi").select("doc_id", "k", "pos", F.inline("templates"))
+    leaves = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs), "leaves")
+    placed = templates(lines, depth, fields, least_tokens)
+    most = leaves.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    live = join_counted(placed, leaves, ["leaf"], "lines", most, "left_semi")
     each = cut(live.groupBy("t1", "t2", "doc_id", "k").agg(F.collect_set("pos").alias("at")), "templates")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
     common = cut(each.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min(first).alias("first")).where(F.col("docs") >= min_docs), "common")
