@@ -1,6 +1,6 @@
 """Approximate nearest neighbours over learned partitions.
 
-Rows start in one part. A part with more than ``rows_per_part`` rows (the first one always) is learned on a sample of
+Rows start in one part. A part with more than twice ``rows_per_part`` rows (the first one always) is learned on a sample of
 its own, bounded by ``sample_rows``, in a task: the sample's neighbour graph is cut into up to 64 balanced parts by
 recursive bisection (sign-split Fiedler vectors at the median), and a small network learns the part of a vector.
 Rows go to their most probable part, and on from there, until parts are small: their number grows with the rows. A
@@ -235,7 +235,7 @@ def _best(dim: int, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, probes: int = 8, mass: float = 0.99, sample_rows: int = SAMPLE_ROWS, rows_per_part: int = ROWS_PER_PART, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, probes: int = 8, mass: float = 0.995, sample_rows: int = SAMPLE_ROWS, rows_per_part: int = ROWS_PER_PART, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each query row."""
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -258,7 +258,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, probes: int = 8, m
         sizes = cut(placed.groupBy("part").agg(F.count("*").alias("size"), F.count_distinct("id").alias("ids")), "sizes")
         if depth:  # a part that its own model hardly split holds equal vectors: it is searched in blocks
             above = parents.select((F.col("part") * CHILDREN).alias("first"), F.col("size").alias("above"))
-            large = sizes.withColumn("first", F.col("part") - F.pmod("part", F.lit(CHILDREN))).join(above, "first").where((F.col("size") > rows_per_part) & (F.col("size") < 0.9 * F.col("above")))
+            large = sizes.withColumn("first", F.col("part") - F.pmod("part", F.lit(CHILDREN))).join(above, "first").where((F.col("size") > 2 * rows_per_part) & (F.col("size") < 0.9 * F.col("above")))
         else:
             large = sizes
         if depth == DEPTH or large.isEmpty():
