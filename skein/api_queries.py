@@ -303,12 +303,12 @@ def api_arg_extremes(spark, d):
     return one(spark, greatest=sk.argmax(p), least=sk.argmin(p))
 
 
-@query("api_argpartition", "SELECT key, count(*) AS n, sum(pos) AS places FROM l GROUP BY key", lines=True)
+@query("api_argpartition", "SELECT key, count(*) AS n, sum(pos)::BIGINT AS places FROM l GROUP BY key", lines=True)
 def api_argpartition(spark, d):
     (qty,) = lines(spark, d, "qty")
     filled = RaggedArray(qty.frame.where(F.size(qty.col) > 0), "qty", F64, 1)
     found = rows_of(sk.argpartition(filled, 0))
-    return found.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").cast("decimal(38,0)").alias("places"))
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("places"))
 
 
 @query("api_search_sorted", "SELECT key, pos, (SELECT count(*) FROM part WHERE p_retailprice < price) AS value FROM (SELECT key, pos, price / 50 AS price FROM l)", lines=True)
@@ -501,10 +501,10 @@ def api_permutation(spark, d):
     return found.select(F.lit("place").alias("what"), F.col(POS).cast("double").alias("x")).unionByName(found.select(F.lit("value").alias("what"), F.col("v").alias("x")))
 
 
-@query("api_permutation_lists", "SELECT key, sum(pos) AS places, sum(qty) AS total, count(*) AS n FROM l GROUP BY key", lines=True)
+@query("api_permutation_lists", "SELECT key, sum(pos)::BIGINT AS places, sum(qty) AS total, count(*) AS n FROM l GROUP BY key", lines=True)
 def api_permutation_lists(spark, d):
     found = rows_of(lines(spark, d, "qty")[0].permutation(dim=1, seed=3))
-    return found.groupBy("key").agg(F.sum("pos").cast("decimal(38,0)").alias("places"), F.sum("value").alias("total"), F.count("*").alias("n"))
+    return found.groupBy("key").agg(F.sum("pos").alias("places"), F.sum("value").alias("total"), F.count("*").alias("n"))
 
 
 @query("api_shuffle_in_place", "SELECT value FROM events")
