@@ -48,17 +48,18 @@ def clustered(n, seed=4):
 @pytest.mark.parametrize("n", [1500, 6000])
 def test_parts_grow_with_the_rows(spark, monkeypatch, n):
     """Several levels of parts, with recall against brute force."""
-    monkeypatch.setattr(A, "MOST", 3)
-    monkeypatch.setattr(A, "CHILDREN", 8)
+    cuts, cut = [], A.cut
+    monkeypatch.setattr(A, "cut", lambda df, name: cuts.append(name) or cut(df, name))
     x = clustered(n)
     df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     got = {}
-    for r in A.nearest(df, F.col("vec_id") % 50 == 0, probes=2, mass=0.9, sample_rows=1000, rows_per_part=100).collect():
+    for r in A.nearest(df, F.col("vec_id") % 50 == 0, probes=4, mass=0.95, sample_rows=1000, rows_per_part=20).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     y = x.astype(np.float64)
     hits = sum(len(got[q] & {i for i, _ in exact(y, q, 5)}) for q in range(0, n, 50))
     assert len(got) == n // 50 and all(len(f) == 5 for f in got.values())
     assert hits / (5 * len(got)) >= 0.9
+    assert cuts.count("models") >= 2  # parts of parts
 
 
 def test_common_vectors_and_repeated_ids(spark):
