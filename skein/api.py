@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import builtins
+
 from pyspark.sql import functions as F
 
 from skein.errors import ArgumentInvalid, LayoutUnsupported
@@ -227,24 +229,24 @@ def histogram(x: RaggedArray, bins: int = 10, range=None, density: bool = False,
 
 
 def _tensor(x: RaggedArray):
-    if x.union or x.depth > 1:
-        raise LayoutUnsupported("tensors have one or two axes")
-    if x.depth == 0:
-        return linalg.tensor(x._plain(), [POS], "v")
-    return linalg.tensor(x._plain().select(POS, F.posexplode("v").alias("j", "v")), [POS, "j"], "v")
+    """A row for each leaf; axes below the first are lists of any depth."""
+    if x.union:
+        raise LayoutUnsupported("a union is no tensor")
+    df, axes = x._plain(), [f"j{k}" for k in builtins.range(x.depth)]
+    for k, name in enumerate(axes):
+        df = df.select(POS, *axes[:k], F.posexplode("v").alias(name, "v"))
+    return linalg.tensor(df, [POS, *axes], "v")
 
 
 def _array(df, like: RaggedArray, integral: bool):
     axes = len(df.columns) - 1
     to = int64 if integral else float64
-    v = F.col("v").cast(to.spark)
     if axes == 0:
-        return df.select(v).first()[0]
-    if axes == 1:
-        return like._from(df.select(F.col("i0").alias(POS), v.alias("v")), to, 0)
-    if axes == 2:
-        return like._from(_rows.nest(df.select(F.col("i0").alias(POS), "i1", v.alias("v")), "v", "i1", POS), to, 1)
-    raise LayoutUnsupported("results have two axes at most")
+        return df.select(F.col("v").cast(to.spark)).first()[0]
+    df = df.withColumn("v", F.col("v").cast(to.spark))
+    for k in builtins.range(axes - 1, 0, -1):
+        df = _rows.nest(df, "v", f"i{k}", *[f"i{j}" for j in builtins.range(k)])
+    return like._from(df.select(F.col("i0").alias(POS), "v"), to, axes - 1)
 
 
 def einsum(subscripts: str, *operands: RaggedArray):

@@ -22,16 +22,23 @@ def tensor(df: DataFrame, indices: Sequence[str | Column], value: str | Column)
     return df.select(*[as_column(c).cast("long").alias(f"i{k}") for k, c in enumerate(indices)], as_column(value).cast("double").alias("v"))
 
 
-def _parse(subscripts: str, n: int) -> tuple[list[str], str]:
+def _parse(subscripts: str, axes: Sequence[int]) -> tuple[list[str], str]:
+    """Letters of each operand and of the output; an ellipsis stands for the axes that letters leave over, from the last."""
     left, arrow, out = subscripts.replace(" ", "").partition("->")
     terms = left.split(",")
-    if len(terms) != n:
-        raise ArgumentInvalid("einsum operands", f"{len(terms)} terms for {n} operands")
-    if "." in subscripts:
-        raise ArgumentInvalid("einsum subscripts", "an ellipsis isn't supported")
+    if len(terms) != len(axes):
+        raise ArgumentInvalid("einsum operands", f"{len(terms)} terms for {len(axes)} operands")
+    free = [c for c in "ZYXWVUTSRQPONMLKJIHGFEDCBA" if c not in subscripts]
+    over = [n - len(t.replace("...", "")) for t, n in zip(terms, axes)]
+    most = max((k for k, t in zip(over, terms) if "..." in t), default=0)
+    terms = [t.replace("...", "".join(reversed(free[:k]))) if k >= 0 else t for t, k in zip(terms, over)]
+    if bad := [t for t, n in zip(terms, axes) if len(t) != n or not t.isalpha() and t]:
+        raise ArgumentInvalid("einsum subscripts", f"{bad[0]!r} doesn't fit its operand")
+    spread = "".join(reversed(free[:most]))
     if not arrow:
         letters = "".join(terms)
-        out = "".join(sorted(c for c in set(letters) if letters.count(c) == 1))
+        out = spread + "".join(sorted(c for c in set(letters) if letters.count(c) == 1 and c not in spread))
+    out = out.replace("...", spread)
     if not set(out) <= set("".join(terms)) or len(set(out)) < len(out):
         raise ArgumentInvalid("einsum subscripts", f"{out!r} doesn't follow from {left!r}")
     return terms, out
@@ -44,7 +51,7 @@ def einsum(subscripts: str, *operands: DataFrame) -> DataFrame:
     output lacks are summed, as early as no later term needs them. An outer product has no key
     to join on; its smaller side is expected to be small and is Catalyst's to broadcast.
     """
-    terms, out = _parse(subscripts, len(operands))
+    terms, out = _parse(subscripts, [len(df.columns) - 1 for df in operands])
 
     def named(term: str, df: DataFrame) -> DataFrame:
         first: dict[str, Column] = {}
