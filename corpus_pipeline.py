@@ -5,7 +5,7 @@ which is written as Parquet in the shared folder and read again as the docs of t
 the last return the columns of documents.
 
 Nulls: a null text is judged by the quality trees like an empty one, has no lines, is a near copy of nothing, holds no item
-and is not taken into the mix; a null id is kept, a null source is a source. Empty texts stay until mixing. Very long texts
+and is not taken into the mix; a null id is kept, a null source is a source. Texts that are empty from the start stay until mixing. Very long texts
 are read whole, in blocks of their own. Repeated rows are judged alike; near-dedup leaves one of them (rows of empty texts
 all stay). Columns of any other name travel with their rows. An empty table gives an empty result in every stage.
 """
@@ -27,8 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go; n_chars follows the text, which may become empty."""
+    """Lines whose template recurs go, and documents that have no word left then: copies; n_chars follows the text."""
     found = lines.dedup_lines(docs, most_dropped=MOST_LINES_DROPPED)
+    found = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*docs.columns)
 
