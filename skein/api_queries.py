@@ -487,11 +487,11 @@ def api_io_counter(spark, d):
 
 @query("api_batches", f"WITH {ORDERS} SELECT key // 4000 AS batch, count(*) AS n, max(price) AS greatest FROM o GROUP BY 1")
 def api_batches(spark, d):
+    """All batches in one job: one or two a batch would grow with the orders."""
     at = path(spark, "batches")
     sk.save(shop(spark, d), at)
     with sk.open(at, cache="none") as h:
-        found = [(i, len(b), b["order_price"].max()) for i, b in enumerate(h.batches(4000))]
-    return spark.createDataFrame(found, "batch long, n long, greatest double")
+        return h.reduce_batches(4000, greatest=("order_price", "max"))
 
 
 # random values, by what must hold of any

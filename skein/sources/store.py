@@ -221,6 +221,20 @@ class OpenFrame:
         for start in range(0, len(self), size):
             yield load_slice(self._path, start, start + size, self._spark)
 
+    def reduce_batches(self, size: int, **reductions: tuple[str, str]) -> DataFrame:
+        """batch, n and the named (column, reduction) of every range of rows that batches() gives: one scan, however many there are."""
+        if size < 1:
+            raise ArgumentInvalid("size must be positive", str(size))
+        frame, found = self._live(), [F.count("*").alias("n")]
+        for name, (column, reduction) in reductions.items():
+            value = frame.column(column)
+            if value.depth or value.union:
+                raise AxisInvalid("batches reduce columns of one axis", column)
+            if f"_in_{column}" in frame._frame.columns:
+                raise AxisInvalid("batches reduce columns as long as the frame", column)
+            found.append(value._reducer(reduction)[1](F.col(column)).alias(name))
+        return frame._frame.groupBy(F.expr(f"`{POS}` div {size}L").alias("batch")).agg(*found)
+
 
 def open(path: str, cache: str = "chunks", chunk_budget_mb: int = 256, spark: SparkSession | None = None) -> OpenFrame:  # noqa: A001
     return OpenFrame(path, cache, chunk_budget_mb, spark)
