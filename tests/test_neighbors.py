@@ -34,6 +34,19 @@ def test_radius_of_known_dimensions_is_compiled(cloud, group, r):
     assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("block", (8, 4096))
+def test_pairwise_deals_large_groups(cloud, monkeypatch, block):
+    df, made = cloud
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    found = neighbors.pairwise(df, "grp", dimensions=3)
+    assert "lambda" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" in plan
+    points = {i: (g, p) for i, g, p in made} | {70: (0, None), 71: (0, None), 72: (0, None), 73: (1, None)}
+    apart = lambda p, q: None if p is None or q is None else float(np.sqrt(((np.array(p) - np.array(q)) ** 2).sum()))
+    near(rows(found), [(g, i, j, apart(p, q)) for i, (g, p) in points.items() for j, (h, q) in points.items() if g == h])
+    by_key = neighbors._dealt(df, "grp", "pos", "a", "b", (large := neighbors._large_groups(df, "grp", "_n"), large)).groupBy("grp", "a", "b").count()
+    assert by_key.agg({"count": "max"}).first()[0] <= max(3 * block, 1) and (by_key.count() > 40) == (block == 8)
+
+
 def test_distances_are_rounded_as_in_the_sql(spark):
     import duckdb
 
