@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from skein.operators import neighbors
+from skein.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +48,26 @@ def test_pairwise_deals_large_groups(cloud, monkeypatch, block):
     assert by_key.agg({"count": "max"}).first()[0] <= max(3 * block, 1) and (by_key.count() > 40) == (block == 8)
 
 
+@pytest.mark.parametrize("block", (8, 4096))
+def test_knn_deals_large_groups(spark, cloud, monkeypatch, block):
+    _, made = cloud
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    df = spark.createDataFrame([(i, g, [round(v, 1) for v in p]) for i, g, p in made], "pos long, grp int, point array<double>")  # ties
+    calls = neighbors.knn(df, df, 4, group="grp", loop=False)
+    assert dict(calls.dtypes)["rank"] == "int"
+    points = {i: (g, p) for i, g, p in map(tuple, df.collect())}
+    d2 = lambda p, q: sum((a - b) * (a - b) for a, b in zip(p, q))
+    expected = []
+    for i, (g, p) in points.items():
+        best = sorted((d2(p, q), j) for j, (h, q) in points.items() if h == g and j != i)[:4]
+        expected += [(g, i, j, k, float(np.sqrt(d))) for k, (d, j) in enumerate(best)]
+    near([(*r[:3], r[4], r[3]) for r in rows(calls)], expected)
+
+
+def test_types_are_those_of_the_sql(spark, sf):
+    assert {n: dict(QUERIES[n](spark, sf).dtypes)["rank"] for n in ("knn_dim0", "knn_dim1_by_label")} == {"knn_dim0": "int", "knn_dim1_by_label": "int"}
+
+
 def test_distances_are_rounded_as_in_the_sql(spark):
     import duckdb
 
