@@ -76,3 +76,14 @@ def test_distances_are_rounded_as_in_the_sql(spark):
     values = [0.0, 5e-7, 4.9999999999999994e-7, 0.1234565, float(np.nextafter(0.1234565, 0)), 1.0000005, 2.5, 1e12 + 0.1, 1e300, float("nan"), float("inf"), None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded("x")).collect()]
     assert repr(got) == repr([duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values])
+
+
+def test_blocks_meet_in_many_partitions(spark, cloud, monkeypatch):
+    df = spark.createDataFrame(cloud[1], "pos long, grp int, point array<double>")
+    monkeypatch.setattr(neighbors, "BLOCK", 8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert neighbors.knn(df, df, 3).count() == 3 * 65
+        assert neighbors.knn(df, df, 3, group="grp").count() == 3 * 65
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
